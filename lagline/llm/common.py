@@ -91,3 +91,15 @@ def youden_threshold(score: np.ndarray, y: np.ndarray) -> float:
     gain[1:-1][s[1:] == s[:-1]] = -np.inf
     k = int(np.argmax(gain))
     return -np.inf if k == 0 else np.inf if k == len(s) else float((s[k - 1] + s[k]) / 2)
+
+
+def best_f1_threshold(score: np.ndarray, y: np.ndarray) -> float:
+    """The cut c that makes "score >= c" find y = 1 with the best F1; the middle of the gap there."""
+    if not len(y) or not (0 < y.sum() < len(y)):
+        return -np.inf
+    order = np.argsort(-score, kind="stable")
+    s, hits = score[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + hits[-1])
+    f1[:-1][s[1:] == s[:-1]] = -1.0
+    k = int(np.argmax(f1))
+    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])

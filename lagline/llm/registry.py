@@ -12,8 +12,56 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .licenses import license_scan
+from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import fit_quality, quality_rules
 from .sharding import shard_documents
+from .token_output import packed_rows
+from .tokenize import BytePairTokenizer, WordEndTokenizer
+from .toxicity import fit_toxicity, score_toxicity
+
+#: Ids of the closing token: the contract's, and the free id of the byte-level vocabulary.
+PACK_END, BYTE_END = 1, 50256
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def word_tokenizer() -> WordEndTokenizer:
+    return WordEndTokenizer(tokenizer_path("word_bpe_49k.json"))
+
+
+def byte_tokenizer() -> BytePairTokenizer:
+    import public_tokenizers
+
+    return BytePairTokenizer(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).withColumn("mix_rate", F.round("mix_rate", 9))
+
+
+OP1_SQL = """
+WITH d AS (SELECT *, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS size FROM d GROUP BY source),
+r AS (SELECT source, sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () / size AS rate FROM s),
+k AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT)) AS k FROM r),
+t AS (SELECT source, rate, k, k * ln(rate) - rate - sum(CASE WHEN k > 0 THEN ln(greatest(k, 1)) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS log_term FROM k),
+c AS (SELECT source, rate, k, sum(exp(log_term)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM t),
+u AS (SELECT d.*, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS mix_u FROM d)
+SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, c.k::INTEGER AS copy, round(c.rate, 9) AS mix_rate, u.mix_u
+FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.mix_u
+"""
+
+
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op5_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +78,25 @@ def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"), byte_tokenizer(), BYTE_END)
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), 4096, PACK_END)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_poisson_mixing": op1_poisson_mixing,
+        "op2_toxic_segments": op2_toxic_segments,
         "op5_quality_llr": op5_quality_llr,
+        "op6_packed_ids": op6_packed_ids,
         "op7_license_templates": op7_license_templates,
         "op9_bounded_ring": op9_bounded_ring,
+        "op10_best_fit": op10_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_poisson_mixing": OP1_SQL}
