@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, quality_rules
 from .sharding import shard_documents
+from .substring import dedup_substrings
 from .token_output import packed_rows
 from .tokenize import BytePairTokenizer, WordEndTokenizer
 from .toxicity import fit_toxicity, score_toxicity
@@ -78,6 +79,23 @@ def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_lag_n_words").alias("n_words"), F.col("_lag_n_removed").alias("n_removed"), F.sha2("_lag_kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, unnest(list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(ws[i:i + 19], ' ')))) AS k FROM w WHERE len(ws) >= 20),
+d AS (SELECT doc_id, s FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM d),
+a AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w),
+k AS (SELECT a.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM a ANTI JOIN c USING (doc_id, pos) GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"), byte_tokenizer(), BYTE_END)
 
@@ -90,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_poisson_mixing": op1_poisson_mixing,
         "op2_toxic_segments": op2_toxic_segments,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_quality_llr": op5_quality_llr,
         "op6_packed_ids": op6_packed_ids,
         "op7_license_templates": op7_license_templates,
@@ -99,4 +118,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": OP1_SQL}
+    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL}
