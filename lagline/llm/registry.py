@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .jaccard import JaccardParams, jaccard_classes
 from .licenses import license_scan
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -18,6 +19,7 @@ from .quality import fit_quality, quality_rules
 from .sharding import shard_documents
 from .substring import dedup_substrings
 from .token_output import packed_rows
+from .topk import top_k
 from .tokenize import BytePairTokenizer, WordEndTokenizer
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -74,11 +76,28 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), JaccardParams(shingle=4, num=85, den=100))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("_lag_n_words").alias("n_words"), F.col("_lag_n_removed").alias("n_removed"), F.sha2("_lag_kept", 256).alias("kept_sha256"))
@@ -108,14 +127,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_poisson_mixing": op1_poisson_mixing,
         "op2_toxic_segments": op2_toxic_segments,
+        "op3_jaccard_classes": op3_jaccard_classes,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality_llr": op5_quality_llr,
         "op6_packed_ids": op6_packed_ids,
         "op7_license_templates": op7_license_templates,
+        "op8_pivot_topk": op8_pivot_topk,
         "op9_bounded_ring": op9_bounded_ring,
         "op10_best_fit": op10_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL}
+    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op8_pivot_topk": OP8_SQL}
