@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -20,9 +22,9 @@ _loaded: dict[tuple, "WordCache"] = {}
 
 
 class WordCache:
-    """Maps pieces of text to packed ids."""
+    """Maps pieces of text to packed ids; encode_many gives the ids of a list of pieces as bytes of id_type."""
 
-    def __init__(self, encode_many, id_type: np.dtype, max_entries: int = 400_000):
+    def __init__(self, encode_many, id_type: np.dtype, max_entries: int = 500_000):
         self.encode_many, self.id_type, self.max_entries = encode_many, np.dtype(id_type), max_entries
         self.held: dict = {}
 
@@ -35,10 +37,8 @@ class WordCache:
         missing = [p for p in distinct if p not in held]
         long: list = []
         if missing:
-            for piece, ids in zip(missing, self.encode_many(missing), strict=True):
-                held[piece] = np.asarray(ids, self.id_type).tobytes()
-                if len(piece) > MAX_CACHED_BYTES:
-                    long.append(piece)
+            held.update(zip(missing, self.encode_many(missing), strict=True))
+            long = [p for p in missing if len(p) > MAX_CACHED_BYTES]
         get = held.__getitem__
         out = [np.frombuffer(b"".join(map(get, pieces)), self.id_type) for pieces in pieces_of_texts]
         for piece in long:
@@ -46,8 +46,23 @@ class WordCache:
         return out
 
 
+#: ASCII marks that end words; the apostrophe is not one of them, as it begins contractions.
+CLOSING_MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\\"
+
+
+def closing_marks(word: bytes) -> tuple[bytes, bytes]:
+    """A word as (letters or digits at its end, the marks after them); no marks where the cut would not be one of the pre-tokenizer's."""
+    core = word.rstrip(CLOSING_MARKS)
+    if not core or len(core) == len(word) or b"<|" in word:
+        return word, b""
+    if core[-1] < 0x80:
+        return (core, word[len(core) :]) if core[-1:].isalnum() else (word, b"")
+    last = unicodedata.normalize("NFC", core.decode()[-1]).lower()[-1]
+    return (core, word[len(core) :]) if last.isalpha() else (word, b"")
+
+
 class WordEndTokenizer:
-    """A `tokenizers` file whose pre-tokenizer never looks across white space and drops it."""
+    """A `tokenizers` file that lower-cases, and whose pre-tokenizer never looks across white space, drops it, and cuts between letters and marks."""
 
     def __init__(self, path: str):
         self.path = path
@@ -60,11 +75,30 @@ class WordEndTokenizer:
 
             t = Tokenizer.from_file(self.path)
             small = t.get_vocab_size(with_added_tokens=True) <= 1 << 16
-            _loaded[key] = WordCache(lambda words: [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)], np.dtype("<u2" if small else "<u4"))
+            code = "H" if small else "I"
+            parts: dict[bytes, bytes] = {b"": b""}
+
+            def encode_many(words: list[bytes]) -> list[bytes]:
+                cut = [closing_marks(w) for w in words]
+                if len(parts) > 600_000:
+                    parts.clear()
+                    parts[b""] = b""
+                new = list(set(chain.from_iterable(cut)) - parts.keys())
+                for p, e in zip(new, t.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+                    parts[p] = array(code, e.ids).tobytes()
+                out = [parts[a] + parts[b] for a, b in cut]
+                for p in new:
+                    if len(p) > MAX_CACHED_BYTES:
+                        del parts[p]
+                return out
+
+            _loaded[key] = WordCache(encode_many, np.dtype("<u2" if small else "<u4"))
         return _loaded[key]
 
     def ids(self, texts: Iterable[bytes]) -> list[np.ndarray]:
-        return self._cache().ids([t.split() for t in texts])  # bytes.split() cuts at ASCII white space only
+        # split() cuts bytes at ASCII white space only; lower() of bytes changes A-Z only.
+        # Special tokens are found before the library lower-cases, so where one may stand the case is left alone.
+        return self._cache().ids([(t if b"<|" in t else t.lower()).split() for t in texts])
 
 
 class BytePairTokenizer:
@@ -89,7 +123,8 @@ class BytePairTokenizer:
         key = ("byte-pair", self.path, self.pattern)
         if key not in _loaded:
             e = self.encoding()
-            _loaded[key] = WordCache(lambda pieces: [e.encode_ordinary(p) for p in pieces], np.dtype("<u2" if e.n_vocab <= 1 << 16 else "<u4"))
+            code = "H" if e.n_vocab <= 1 << 16 else "I"
+            _loaded[key] = WordCache(lambda pieces: [array(code, e.encode_ordinary(p)).tobytes() for p in pieces], np.dtype("<u2" if code == "H" else "<u4"))
         return _loaded[key]
 
     @staticmethod
