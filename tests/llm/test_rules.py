@@ -1,0 +1,176 @@
+"""Quality rules, license scans and toxicity against plain versions."""
+
+import itertools
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lagline.llm.licenses import LicenseScanner, TokenAutomaton, license_scan
+from lagline.llm.quality import fit_quality, keep_quality, quality_rules
+from lagline.llm.toxicity import ToxicityParams, decay_rate, fit_toxicity, maximal_segments, score_toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    grams = Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = set()
+    for k in range(len(words) - 2):
+        if grams[tuple(words[k : k + 3])] > 1:
+            hit.update((k, k + 1, k + 2))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_counts_and_verdicts(docs, rows, labels):
+    model = fit_quality(docs, labels)
+    got = {r.doc_id: r for r in quality_rules(docs, model).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        n, chars, symbols, dup, repeat = plain_counts(t)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat), i
+        assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.base_failed and r.kept)
+        assert r.kept == (not r.base_failed and r.score >= model.threshold)
+    kept = keep_quality(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_quality_score_is_the_mean_log_ratio(docs, rows, labels):
+    """The same multinomials counted without hashing; a few of the grams share a bucket."""
+    from lagline.llm.quality import QualityParams
+
+    p = QualityParams(n_buckets=1 << 22)
+    model = fit_quality(docs, labels, p)
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    raw, target, grams = Counter(), Counter(), {}
+    for i, t, *_ in rows:
+        w = WORD.findall(t or "")
+        grams[i] = [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+        raw.update(grams[i])
+        if i in good:
+            target.update(grams[i])
+    total = lambda c: sum(c.values()) + p.prior * p.n_buckets
+    llr = {g: np.log((target[g] + p.prior) / total(target)) - np.log((raw[g] + p.prior) / total(raw)) for g in raw}
+    for r in quality_rules(docs, model).collect():
+        want = np.mean([llr[g] for g in grams[r.doc_id]]) if grams[r.doc_id] else 0.0
+        assert r.score == pytest.approx(want, abs=0.02)
+
+
+def test_quality_without_labels_or_rows(docs, labels, nothing):
+    model = fit_quality(docs, labels.limit(0))
+    assert all(r.kept != r.base_failed for r in quality_rules(docs, model).collect())
+    assert quality_rules(nothing, fit_quality(nothing, labels)).count() == 0
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_license_scan(spark):
+    texts = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0. CC-BY.", "mit MIT License, Released under the terms of the MIT license", "Apache License, Version 2.0", "Apache\nLicense", "gnu general public licenses", None, "", "Copyright (c) 2020 by Jo Doe. All rights reserved.", "cc", "x " * 20000 + "apache license"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "mit license"), (3, texts[3])], "doc_id long, text string").withColumn("labels", F.lit(1))
+    got = license_scan(df).collect()
+    assert len(got) == len(texts) + 2 and sum(r.doc_id == 3 for r in got) == 2
+    for r in got:
+        t = (texts[r.doc_id] if r.doc_id is not None else "mit license") or ""
+        words = ALNUM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        places = sorted(k for p in PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        base = sorted({v for p, v in PHRASES.items() if any(words[k : k + len(p.split())] == p.split() for k in range(len(words)))})
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(base))
+        assert (r.first_word, r.last_word) == ((places[0], places[-1]) if places else (None, None))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    by_id = {r.doc_id: r.labels for r in got}
+    assert by_id[0] == "gpl,gpl-3.0" and by_id[1] == "cc-by,cc-by-nc-4.0" and by_id[3] == "apache,apache-2.0" and by_id[4] == "apache"
+    assert "mit-notice" in by_id[2] and by_id[8] == "copyright-notice"
+
+
+def expansions(template):
+    """Every word sequence a small template accepts, written out; ? stands for any word."""
+    parts, out = re.split(r"(<<optional>>.*?<</optional>>|<<var:\d+(?:-\d+)?>>)", template), [[]]
+    for part in parts:
+        if part.startswith("<<optional>>"):
+            inner = part[12:-13].split()
+            out = out + [o + inner for o in out]
+        elif part.startswith("<<var:"):
+            low, _, high = part[6:-2].rpartition("-")
+            out = [o + ["?"] * k for o in out for k in range(int(low or 1), int(high) + 1)]
+        else:
+            out = [o + part.split() for o in out]
+    return out
+
+
+@pytest.mark.parametrize("template", ["a b", "a <<optional>>b <</optional>>c", "a <<var:2>> b <<optional>>c<</optional>>", "<<optional>>a <</optional>>b <<var:0-2>> a"])
+def test_automaton_equals_written_out_templates(template):
+    automaton, accepted = TokenAutomaton.compile(template), expansions(template)
+    for n in range(1, 7):
+        for words in itertools.product("abc", repeat=n):
+            want = any(len(x) <= n and all(p in ("?", w) for p, w in zip(x, words, strict=False)) for x in accepted)
+            raw = [w.encode() for w in words]
+            assert automaton.accepts(raw.__getitem__, 0, n) == want, words
+
+
+def test_templates_need_mandatory_wording():
+    for bad in ("<<optional>>a<</optional>>", "<<optional>>a"):
+        with pytest.raises(ValueError, match="template|optional"):
+            TokenAutomaton.compile(bad)
+    with pytest.raises(ValueError, match="begin"):
+        LicenseScanner(templates={"x": "<<var:1>> a"})
+
+
+def test_maximal_segments():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        s = rng.integers(-4, 5, rng.integers(0, 14)).astype(float)
+
+        def recursive(lo, hi, s=s):
+            """The definition: the best segment, then the same left and right of it (the shortest, then leftmost of equals)."""
+            best = max(((s[a:b].sum(), -(b - a), -a) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+            if best[0] <= 0:
+                return []
+            a, b = -best[2], -best[1] - best[2]
+            return [*recursive(lo, a), (a, b - 1, best[0]), *recursive(b, hi)]
+
+        got = maximal_segments(s)
+        assert sorted(x[2] for x in got) == sorted(x[2] for x in recursive(0, len(s)))
+        assert all(got[k][1] < got[k + 1][0] for k in range(len(got) - 1))
+        assert all(s[a : b + 1].sum() == pytest.approx(v) for a, b, v in got)
+
+
+def test_decay_rate():
+    assert decay_rate(np.array([1.0, -1.0]), np.array([0.25, 0.75])) == pytest.approx(np.log(3), rel=1e-6)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Toxic documents hold a few of eight marked words; a fifth of the ids is never learned from."""
+    import random
+
+    rng = random.Random(8)
+    plain, marked = [f"w{i}" for i in range(800)], [f"insult{c}" for c in "abcdefgh"]
+    data = []
+    for i in range(1500):
+        w = [rng.choice(plain) for _ in range(rng.randrange(30, 200))]
+        toxic = i % 7 == 0
+        for _ in range(5 if toxic else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(marked) + rng.choice(["", ",", "!"]))
+        data.append((i, " ".join(w), int(toxic)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    docs = df.drop("toxic").union(spark.createDataFrame([(9000, None), (9001, ""), (9002, "w1"), (9003, "insulta " * 5000), (None, "insulta")], "doc_id long, text string"))
+    model = fit_toxicity(docs, df.select("doc_id", "toxic"), ToxicityParams(n_buckets=1 << 14))
+    got = score_toxicity(docs, model).join(df.drop("text"), "doc_id", "left").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()
+    assert len(got) == 1505 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    held = [r for r in got if r.held and r.toxic is not None]
+    right = [r.predicted == r.toxic for r in held]
+    assert len(held) > 200 and np.mean(right) > 0.97
+    assert all(r.score == 0 for r in got if r.doc_id in (9000, 9001))
+    assert any(r.passages for r in held if r.toxic)
+
+
+def test_toxicity_without_labels(docs, labels, nothing):
+    assert {r.score for r in score_toxicity(docs, fit_toxicity(docs, labels.limit(0))).collect()} == {0.0}
+    assert score_toxicity(nothing, fit_toxicity(nothing, labels)).count() == 0
