@@ -10,9 +10,9 @@ another inside them: a global shuffle without a global sort, in which no source
 meets in one place.
 
 Sizes are UTF-8 bytes of text plus one a document. Only one row a source is
-aggregated and joined back; whether that side is broadcast Spark decides by its
-size, and a source that holds a third of the rows is split by the adaptive
-skew join otherwise.
+aggregated and joined back. Sources are counted first: up to broadcast_sources
+that side is broadcast and the text is shuffled once, for the deal; beyond, the
+join is left to Spark, which splits a source that holds a third of the rows.
 
 Defined results: a null source is a source of its own; null and empty texts are
 documents of size one; a source without a weight (or weight 0) is left out;
@@ -66,10 +66,12 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return target.select("source", (F.col("weight") / F.col("weights") * F.col("corpus") / F.col("size")).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, seed: str = "mix", broadcast_sources: int = 10_000) -> DataFrame:
     """All columns of docs, each row as often as drawn, with copy (from 0), mix_rate and mix_u; globally shuffled."""
     own = [c for c in docs.columns if c not in ("copy", "mix_rate", "mix_u")]
     rates = source_rates(docs, weights, alpha).select(F.col("source").alias("_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    if docs.select("source").distinct().count() <= broadcast_sources:
+        rates = F.broadcast(rates)
     drawn = docs.select(*own, uniform(seed, F.col("doc_id")).alias("mix_u")).join(rates, F.col("source").eqNullSafe(F.col("_source")))
     count = F.size(F.filter("_cdf", lambda c: c <= F.col("mix_u")))
     copies = drawn.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

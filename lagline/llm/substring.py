@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 from .common import partitions
 from .text import Words, _power_tables, blocks, covered, mix, ngram_hashes, words_of
 
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 PARTITION_BYTES = 24 << 20
 _PLACE = 26  # bits for a word's position in a block, below the hash that picks anchors
 _KEY = "_lag_id"
