@@ -45,7 +45,7 @@ def plain_classes(rows, k, num, den):
     return {i: (len(s), u.root(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("params", [JaccardParams(shingle=4, num=85), JaccardParams(), JaccardParams(shingle=3, num=60, max_posting=2), JaccardParams(shingle=2, num=50, max_posting=3, max_rounds=2, bitmap_bits=8)])
+@pytest.mark.parametrize("params", [JaccardParams(shingle=4, num=85), JaccardParams(), JaccardParams(shingle=3, num=60, max_posting=2), JaccardParams(shingle=2, num=50, max_posting=3, bitmap_bits=8)])
 def test_classes_equal_all_pairs(docs, rows, params):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(docs.withColumn("item", F.lit(1)), params).collect()}
     assert got == plain_classes([r[:2] for r in rows], params.shingle, params.num, params.den)
