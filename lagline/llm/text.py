@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Delimiters of `[^\x20\x09-\x0D]+`.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
@@ -149,6 +149,13 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
             at = past
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches into pieces of at most so many rows, so that only a piece is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[d]:first[d + 1]] for every d."""
     total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))
