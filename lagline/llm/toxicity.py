@@ -7,15 +7,17 @@ bounded labelled sample; a word that one document repeats counts once. A
 feature's log-odds and its z-score follow from the three counts, and a token
 takes those of its more significant feature. Features without a significant
 difference score only the drift, a small negative constant, so that the
-expected score of clean text is negative; so do further occurrences of a
-feature after max_repeats in a text.
+expected score of clean text is negative.
 
 Scoring walks every whole text once: all maximal scoring segments (the
 linear-time stack algorithm for "all maximal scoring subsequences") are found
 over its runs of positive tokens, each gets an extreme-value P-value
 1 - exp(-n exp(-lambda S)) with lambda from the score distribution of clean
-text, and the significant ones are aggregated by the sum statistic of several
-segments. The document's evidence t = -log P becomes t / (t + c), so 0.5 is the decision.
+text, and the significant ones are the passages. A word repeated over and over is
+a passage, but not ever more evidence: a segment's weight is that of its best part
+in which each feature counts max_repeats times at most, so it depends on the
+segment alone and not on what stands elsewhere in the text. The weights are
+aggregated by the sum statistic of several segments. The document's evidence t = -log P becomes t / (t + c), so 0.5 is the decision.
 The cut c, and how significant a feature must be, are those with the best F1 on
 a fifth of the sample from which no feature was learned.
 
@@ -117,6 +119,41 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b - 1, hi - lo) for a, b, lo, hi, _ in held]
 
 
+def damped(value: np.ndarray, feature: np.ndarray, most: int, drift: float) -> float:
+    """The best sum over consecutive entries in which a feature counts most times at most; further positive entries of it score -drift.
+
+    Entries with a negative feature always count. The first entry of the part moves from right to left; each step gives
+    one entry its value back and takes that of the entry most places on in its feature. A tree holds (sum, best prefix).
+    """
+    hot = np.flatnonzero(feature >= 0)
+    if not len(hot):
+        return max(0.0, float(value.max(initial=0.0)))
+    total = np.concatenate(([0.0], np.cumsum(value)))
+    gap = (total[hot[1:]] - total[hot[:-1] + 1]).tolist() + [0.0]  # what stands between an entry and the next; none is positive
+    own, seen = value[hot].tolist(), {}
+    size = 1 << max(0, len(hot) - 1).bit_length()
+    sums, best = [0.0] * (2 * size), [0.0] * (2 * size)
+
+    def put(k: int, x: float) -> None:
+        k_gap, k = gap[k], k + size
+        sums[k], best[k] = x + k_gap, max(0.0, x)
+        k >>= 1
+        while k:
+            sums[k] = sums[2 * k] + sums[2 * k + 1]
+            best[k] = max(best[2 * k], sums[2 * k] + best[2 * k + 1])
+            k >>= 1
+
+    found = 0.0
+    for k in range(len(hot) - 1, -1, -1):
+        places = seen.setdefault(int(feature[hot[k]]), [])
+        places.append(k)
+        if len(places) > most:
+            put(places[-1 - most], -drift)
+        put(k, own[k])
+        found = max(found, best[1])
+    return found
+
+
 class ToxicityModel:
     """Scores and z-scores of the buckets of words and stems, and constants; fixed size."""
 
@@ -124,40 +161,49 @@ class ToxicityModel:
         self.score, self.z, self.decay, self.params = score.astype(np.float32), np.abs(z).astype(np.float32), decay, params
         self.cut = -math.log(params.alpha)
 
-    def tokens(self, w: Words) -> np.ndarray:
+    def scored(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Score of every token, and the feature it comes from where it is positive, else -1."""
         word, stem = token_buckets(w, self.params)
         by_word = self.z[0][word] >= self.z[1][stem]
         s = np.where(by_word, self.score[0][word], self.score[1][stem]).astype(float)
-        hot = np.flatnonzero(s > 0)
-        if len(hot):  # a feature that one text repeats over and over is no further evidence
-            feature = (w.doc[hot] * 2 + by_word[hot]) * self.params.n_buckets + np.where(by_word[hot], word[hot], stem[hot])
-            order = np.argsort(feature, kind="stable")
-            first = np.searchsorted(feature[order], feature[order])
-            s[hot[order[np.arange(len(hot)) - first >= self.params.max_repeats]]] = -self.params.drift
-        return s
-
-    def passages(self, s: np.ndarray) -> tuple[float, list[tuple[int, int, float, float]]]:
+        return s, np.where(s > 0, np.where(by_word, word, stem + self.params.n_buckets), -1)
+
+    def tokens(self, w: Words) -> np.ndarray:
+        return self.scored(w)[0]
+
+    def weight(self, s: np.ndarray, feature: np.ndarray, total: float) -> float:
+        """What a segment's score of total counts for as evidence: the same, unless it repeats a feature more than max_repeats times."""
+        hot = feature[feature >= 0]
+        if len(hot) <= self.params.max_repeats or np.unique(hot, return_counts=True)[1].max() <= self.params.max_repeats:
+            return total
+        return damped(s, feature, self.params.max_repeats, self.params.drift)
+
+    def passages(self, s: np.ndarray, feature: np.ndarray) -> tuple[float, list[tuple[int, int, float, float]]]:
         """Evidence of a text from its token scores, and its significant passages (first word, last word, score, P-value)."""
-        n, found, best = len(s), [], -math.inf
+        n, found, strong, best = len(s), [], [], -math.inf
+        p_value = lambda x: -math.expm1(-math.exp(min(-x, 700)))
         for first, last, total in maximal_segments(s):
-            x = self.decay * total - math.log(n)
-            best = max(best, x)
-            p = -math.expm1(-math.exp(min(-x, 700)))
+            p = p_value(self.decay * total - math.log(n))
             if p <= self.params.alpha:
                 found.append((first, last, total, p))
+            x = self.decay * self.weight(s[first : last + 1], feature[first : last + 1], total) - math.log(n)
+            best = max(best, x)
+            if p_value(x) <= self.params.alpha:
+                strong.append(x)
         if best == -math.inf:
             return 0.0, found
         alone = best if best > 30 else -math.log(-math.expm1(-math.exp(-best))) if best > -6 else math.exp(-math.exp(min(-best, 6.5)))
-        if len(found) < 2:
+        if len(strong) < 2:
             return alone, found
-        x, r = sum(self.decay * f[2] - math.log(n) for f in found), len(found)
+        x, r = sum(strong), len(strong)
         log_p = -x + (r - 1) * math.log(max(x, 1e-9)) - math.lgamma(r + 1) - math.lgamma(r)
         return max(alone, -log_p), found
 
     def evidence(self, w: Words) -> tuple[np.ndarray, list[list[tuple[int, int, float, float]]]]:
-        s, out, spans = self.tokens(w), np.zeros(w.docs), [[] for _ in range(w.docs)]
+        (s, feature), out, spans = self.scored(w), np.zeros(w.docs), [[] for _ in range(w.docs)]
         for d in np.unique(w.doc[s > 0]).tolist():
-            out[d], spans[d] = self.passages(s[w.first[d] : w.first[d + 1]])
+            at = slice(w.first[d], w.first[d + 1])
+            out[d], spans[d] = self.passages(s[at], feature[at])
         return out, spans
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lagline.llm.licenses import LicenseScanner, TokenAutomaton, license_scan
 from lagline.llm.quality import fit_quality, keep_quality, quality_rules
-from lagline.llm.toxicity import ToxicityParams, decay_rate, fit_toxicity, maximal_segments, score_toxicity
+from lagline.llm.toxicity import ToxicityModel, ToxicityParams, damped, decay_rate, fit_toxicity, maximal_segments, score_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -174,3 +174,42 @@ def test_toxicity_on_held_out_rows(spark):
 def test_toxicity_without_labels(docs, labels, nothing):
     assert {r.score for r in score_toxicity(docs, fit_toxicity(docs, labels.limit(0))).collect()} == {0.0}
     assert score_toxicity(nothing, fit_toxicity(nothing, labels)).count() == 0
+
+
+def test_damped_is_the_best_part_with_few_repeats():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        feature = rng.integers(-3, 4, rng.integers(1, 14))
+        feature[0] = feature[-1] = 0  # a segment begins and ends with a positive entry
+        value = np.where(feature >= 0, rng.integers(1, 6, len(feature)), -rng.integers(1, 4, len(feature))).astype(float)
+        most, want = int(rng.integers(1, 4)), 0.0
+        for a in range(len(value)):
+            seen, total = Counter(), 0.0
+            for b in range(a, len(value)):
+                seen[int(feature[b])] += 1
+                total += value[b] if feature[b] < 0 or seen[int(feature[b])] <= most else -0.5
+                want = max(want, total)
+        assert damped(value, feature, most, 0.5) == pytest.approx(want)
+
+
+def test_toxic_passage_after_its_words_have_occurred():
+    """Each word twice early in a very long text, far apart; then dense passages. Repeating one word is not ever more evidence."""
+    import pyarrow as pa
+
+    from lagline.llm.text import NOT_ALNUM, words_of
+    from lagline.llm.toxicity import token_buckets
+
+    p, marked = ToxicityParams(), [f"insult{c}" for c in "abcdefghijkl"]
+    scores = np.full((2, p.n_buckets), -p.drift)
+    z = np.zeros((2, p.n_buckets))
+    at = token_buckets(words_of(pa.array([" ".join(marked)]), NOT_ALNUM, lower=True), p)[0]
+    scores[0, at], z[0, at] = 3.0, 9.0
+    model = ToxicityModel(scores, z, p)
+    mild = [w for m in marked * 2 for w in [m] + ["x"] * 100]
+    chained = [w for m in marked * 2 for w in [m] + ["x"] * 20]
+    dense = marked + ["x"] * 2000 + marked
+    texts = [mild + dense, chained + dense + chained, dense, ["insulta"] * 5000, ["insulta"] * 2]
+    t, spans = model.evidence(words_of(pa.array([" ".join(x) for x in texts]), NOT_ALNUM, lower=True))
+    assert [(a, b) for a, b, *_ in spans[0]] == [(len(mild), len(mild) + 11), (len(mild) + 2012, len(mild) + 2023)]
+    assert len(spans[1]) == len(spans[2]) == 2 and len(spans[3]) == 1
+    assert min(t[:3]) > 3 * model.cut and t[3] <= t[4]
