@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """The table with a number of its own for each row, and a hash of the row's values to order rows by.
+
+    Both are written once to the shared folder, so every plan that reads the result sees the same numbers. The hash does
+    not depend on how the table is cut into files; rows that the number must tell apart are equal in all hashed columns.
+    """
+    flat = [f.name for f in df.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    return stored(df.withColumns({order: F.xxhash64(*flat), key: F.monotonically_increasing_id()}), name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,8 +11,9 @@ of equals), a function of the window's words alone. Windows with one anchor
 place are consecutive, so a document of n windows has about 2 n / (window -
 gram + 2) runs (anchor, hash of all words of the run, place).
 
-1. Documents are dealt by doc_id once; this exchange serves all three passes.
-   Each block of documents settles what it can alone: of equal runs only the
+1. Each row gets a number of its own, written once to the shared folder; rows are
+   dealt, ordered and cut into blocks by it, the same way in all three passes, and
+   verdicts are joined back by it. This exchange serves all three passes. Each block of documents settles what it can alone: of equal runs only the
    first goes on, the others are duplicates.
 2. First runs meet by anchor, at most one a block and anchor. Of equal runs all
    but the first are duplicates. A run that is the only one of its anchor has no
@@ -22,13 +23,15 @@ gram + 2) runs (anchor, hash of all words of the run, place).
    but the first are duplicates.
 
 Two independent 64-bit hashes of the same words decide (anchor and run, anchor
-and window). Order is doc_id, then word position. Nothing is capped; a passage
+and window). Order is doc_id, then a hash of the row's values, then its number
+(only between rows that are equal), then word position. Nothing is capped; a passage
 in a third of all documents gives each task one row a block at most in step 2,
 and in step 3 one row a block for each different window.
 
-Defined results: a null text has no words; rows with one doc_id count as one
-document, whose texts all start at word 0; a null doc_id comes before all
-others; texts shorter than a window lose nothing; an empty table gives an empty
+Defined results: a null text has no words; every row is a document of its own,
+also where rows repeat a doc_id or have none, and of equal rows one keeps its
+words; a null doc_id comes before all others; texts shorter than a window lose
+nothing; an empty table gives an empty
 table; other columns are passed through (names that begin with _lag_ are
 reserved).
 """
@@ -43,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions
-from .text import Words, _power_tables, blocks, covered, mix, ngram_hashes, words_of
+from .common import numbered, partitions
+from .text import Words, _power_tables, covered, mix, ngram_hashes, steady_blocks, words_of
 
 BLOCK = 3 << 20
 PARTITION_BYTES = 24 << 20
 _PLACE = 26  # bits for a word's position in a block, below the hash that picks anchors
-_KEY = "_lag_id"
+_KEY, _DOC, _HASH = "_lag_id", "_lag_doc", "_lag_hash"
 
 
 def sliding_min(v: np.ndarray, span: int) -> np.ndarray:
@@ -115,7 +118,7 @@ class Settled:
 
 
 def settle(r: Runs, ids: np.ndarray) -> Settled:
-    """Compares the runs of a block; ids: doc_id of each row of the block."""
+    """Compares the runs of a block; ids: place of each row of the block in the order of rows."""
     n, doc = len(r), ids[r.doc]
     order = np.lexsort((r.start, doc, r.run, r.anchor))
     a, b = r.anchor[order], r.run[order]
@@ -177,31 +180,36 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(partitions(spark), -(-int(size) // PARTITION_BYTES))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
-    dealt = docs.withColumn(_KEY, key).repartition(n, _KEY)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
+    dealt = numbered(docs, _KEY, _HASH, "numbered").withColumn(_DOC, doc).repartition(n, _KEY)
+    row_columns, row_schema = (_DOC, _HASH, _KEY), f"{_DOC} long, {_HASH} long, {_KEY} long"
 
     def prepared(batches):
-        for b in blocks(batches, max_bytes=BLOCK):
+        for b in steady_blocks(batches, BLOCK):
             w = words_of(b.column("text"))
-            ids = b.column(_KEY).to_numpy()
+            ids = np.empty(b.num_rows, np.int64)
+            ids[np.lexsort([b.column(c).to_numpy() for c in reversed(row_columns)])] = np.arange(b.num_rows)
             r = anchor_runs(w, window, gram)
             yield b, w, ids, r, settle(r, ids)
 
+    def of_rows(b, rows):
+        return [b.column(c).take(pa.array(rows)) for c in row_columns]
+
     def first_runs(batches):
-        for _, _, ids, r, s in prepared(batches):
+        for b, _, _, r, s in prepared(batches):
             chosen = np.flatnonzero((s.lead & ~s.several) | s.face)
             place = pack_place(r.start[chosen], r.count[chosen], s.face[chosen].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(r.anchor[chosen].view(np.int64)), pa.array(r.run[chosen].view(np.int64)), pa.array(ids[r.doc[chosen]]), pa.array(place)], ["anchor", "run", _KEY, "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(r.anchor[chosen].view(np.int64)), pa.array(r.run[chosen].view(np.int64)), *of_rows(b, r.doc[chosen]), pa.array(place)], ["anchor", "run", *row_columns, "place"])
 
-    runs = dealt.sortWithinPartitions(_KEY).mapInArrow(first_runs, f"anchor long, run long, {_KEY} long, place long")
-    by_anchor, by_run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "run").orderBy(_KEY, "place")
+    runs = dealt.sortWithinPartitions(_KEY).mapInArrow(first_runs, f"anchor long, run long, {row_schema}, place long")
+    by_anchor, by_run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "run").orderBy(*row_columns, "place")
     seen = runs.select(
         "*",
-        (F.first(_KEY).over(by_run)).alias("_doc"),
+        (F.first(_KEY).over(by_run)).alias("_row"),
         F.shiftright(F.first("place").over(by_run), 1).alias("_at"),
         ((F.min("run").over(by_anchor) != F.max("run").over(by_anchor)) | (F.max(F.col("place").bitwiseAND(1)).over(by_anchor) == 1)).alias("_several"),
     )
-    is_first = (F.col(_KEY) == F.col("_doc")) & (F.shiftright("place", 1) == F.col("_at"))
+    is_first = (F.col(_KEY) == F.col("_row")) & (F.shiftright("place", 1) == F.col("_at"))
     # kind 1: duplicate, kind 0: open
     verdict = seen.where(~is_first | F.col("_several")).select(_KEY, (F.shiftleft(F.shiftright("place", 1), 1) + F.when(is_first, 0).otherwise(1)).alias("v"))
     run_verdicts = verdict.repartition(n, _KEY).groupBy(_KEY).agg(F.collect_list("v").alias("_lag_runs"))
@@ -211,12 +219,12 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
         for b, _, ids, r, s in prepared(batches):
             at, run, _ = open_windows(r, s, ids, *verdicts(b.column("_lag_runs"), b.num_rows))
             start = r.start[run] + at - r.first[run]
-            yield pa.RecordBatch.from_arrays([pa.array(r.anchor[run].view(np.int64)), pa.array(r.hash_w[at].view(np.int64)), pa.array(ids[r.doc[run]]), pa.array(start)], ["anchor", "words", _KEY, "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(r.anchor[run].view(np.int64)), pa.array(r.hash_w[at].view(np.int64)), *of_rows(b, r.doc[run]), pa.array(start)], ["anchor", "words", *row_columns, "start"])
 
-    by_words = Window.partitionBy("anchor", "words").orderBy(_KEY, "start")
-    compared = known.mapInArrow(windows, f"anchor long, words long, {_KEY} long, start long")
-    compared = compared.select("*", F.first(_KEY).over(by_words).alias("_doc"), F.first("start").over(by_words).alias("_at"))
-    later = compared.where(f"{_KEY} != _doc or start != _at").select(_KEY, "start")
+    by_words = Window.partitionBy("anchor", "words").orderBy(*row_columns, "start")
+    compared = known.mapInArrow(windows, f"anchor long, words long, {row_schema}, start long")
+    compared = compared.select("*", F.first(_KEY).over(by_words).alias("_row"), F.first("start").over(by_words).alias("_at"))
+    later = compared.where(f"{_KEY} != _row or start != _at").select(_KEY, "start")
     window_verdicts = later.repartition(n, _KEY).groupBy(_KEY).agg(F.collect_list("start").alias("_lag_windows"))
     decided = known.join(window_verdicts.hint("merge"), _KEY, "left")
     names = docs.columns

@@ -149,6 +149,28 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
             at = past
 
 
+def steady_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """blocks() whose cuts depend on the rows and their order only, not on where a record batch ends."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        total, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            room = max_bytes - size + (int(total[at - 1]) if at else 0)
+            past = int(np.searchsorted(total, room, side="right"))
+            past = max(past, at if held else at + 1)  # one longer text is a block
+            if past > at:
+                held.append(batch.slice(at, past - at))
+                size += int(total[past - 1]) - (int(total[at - 1]) if at else 0)
+            at = past
+            if at < batch.num_rows:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into pieces of at most so many rows, so that only a piece is held as Python objects."""
     for batch in batches:

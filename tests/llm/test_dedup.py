@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,54 @@ def test_substring_dedup_of_nothing_and_repeated_rows(spark, nothing):
     assert got == [(False, 0, 0), (True, 5, 30), (True, 5, 30), (True, 6, 30)]
 
 
+@pytest.mark.parametrize("block", [700, 3 << 20])
+def test_substring_dedup_of_different_texts_without_ids_of_their_own(spark, monkeypatch, block):
+    """Rows that repeat a doc_id or have none are documents of their own; nothing that stands once is removed."""
+    from lagline.llm import substring
+
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng = random.Random(12)
+    words = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    shared = [words(12) for _ in range(4)]
+    data = []
+    for k in range(120):
+        w = words(rng.randrange(0, 9)) + (shared[k % 4] if k % 3 else []) + words(rng.choice([0, 3, 40]))
+        data.append((None if k % 2 else rng.choice([1, 2, 3]), " ".join(w)))
+    data += data[:10]
+    rng.shuffle(data)
+    window = 6
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.text, r._lag_kept) for r in substring.dedup_substrings(df, window, 3).collect()]
+    assert sorted((i is None, i or 0, t) for i, t, _ in got) == sorted((i is None, i or 0, t) for i, t in data)
+    before = {tuple(w[s : s + window]) for w in (t.split() for _, t in data) for s in range(len(w) - window + 1)}
+    after = [tuple(w[s : s + window]) for w in (k.split() for *_, k in got) for s in range(len(w) - window + 1)]
+    after = [x for x in after if x in before]
+    assert len(after) == len(set(after))  # no window stands twice
+    kept = {x for *_, k in got for x in k.split()}
+    assert kept == {x for _, t in data for x in t.split()}  # every word stands somewhere still
+    once = Counter(x for _, t in dict.fromkeys(data) for x in t.split())
+    for i, t, k in got:
+        if data.count((i, t)) == 1:
+            assert {x for x in t.split() if once[x] == 1} <= set(k.split())
+
+
+def test_steady_blocks():
+    import pyarrow as pa
+
+    from lagline.llm.text import steady_blocks
+
+    rng = random.Random(3)
+    texts = [None if rng.random() < 0.1 else "x" * rng.choice([0, 5, 300, 2000]) for _ in range(200)]
+    whole = pa.RecordBatch.from_pydict({"text": texts})
+
+    def cut(rows):
+        out = [b.column("text").to_pylist() for b in steady_blocks([whole.slice(k, rows) for k in range(0, 200, rows)], 1000)]
+        assert [t for b in out for t in b] == texts and all(len(b) == 1 or sum(len(t or "") + 64 for t in b) <= 1000 for b in out)
+        return out
+
+    assert cut(1) == cut(7) == cut(200) and list(steady_blocks([], 10)) == []
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(200):
