@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,10 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>><<var:1>> <</optional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>><<var:1>> <</optional>>redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+_BSD_WARRANTY = "this software is provided by <<var:20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:20>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_GPL_NOTICE = "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<optional>>either <</optional>>version {} of the license <<optional>>or at your option any later version <</optional>><<var:1-6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+
 #: Templates in markup; their labels come beside the base ones.
 TEMPLATES = {
     "gpl-3.0": "gnu general public license <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>>version 3",
@@ -50,12 +55,29 @@ TEMPLATES = {
     "cc-by-4.0": "cc by <<optional>>international <</optional>>4 0",
     "cc-by-nc-4.0": "cc by nc <<optional>>international <</optional>>4 0",
     "cc-by-sa-4.0": "cc by sa <<optional>>international <</optional>>4 0",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of <<var:6>> to deal in <<var:4>> without restriction",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of <<var:8>> to deal in <<var:4>> without restriction",
     "mit-notice": "<<optional>>released <</optional>><<optional>>licensed <</optional>>under the <<optional>>terms of the <</optional>>mit license",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of <<var:8>> to deal in <<var:4>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of <<var:4>> and to permit persons to whom <<var:4>> is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph <</optional>>shall be included in all copies or substantial portions of <<var:4>> <<var:4>> is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var:20>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with <<var:4>> or the use or other dealings in <<var:4>>",
+    "bsd-2-clause": _BSD_GRANT + _BSD_WARRANTY,
+    "bsd-3-clause": _BSD_GRANT + "<<optional>><<var:1>> <</optional>>neither the <<var:16>> may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_WARRANTY,
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use <<var:4>> except in compliance with the license you may obtain a copy of the license at <<var:10>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-2.0-notice": _GPL_NOTICE.format(2),
+    "gpl-3.0-notice": _GPL_NOTICE.format(3),
+    "cc-by-4.0-title": "creative commons attribution 4 0 international",
+    "cc-by-nc-4.0-title": "creative commons attribution noncommercial 4 0 international",
+    "cc-by-sa-4.0-title": "creative commons attribution sharealike 4 0 international",
     "copyright-notice": "copyright <<optional>>c <</optional>><<var:1>> <<optional>>by <</optional>><<var:0-6>> all rights reserved",
 }
 
+#: Licences whose whole terms are a template, in license_texts/; all of their wording is mandatory.
+BODIES = ("apache-2.0-text", "gpl-2.0-text", "gpl-3.0-text")
+
+
+def body_templates() -> dict[str, str]:
+    folder = resources.files(__package__) / "license_texts"
+    return {label: (folder / f"{label}.txt").read_text(encoding="utf-8") for label in BODIES}
+
 
 def tokens(text: str) -> list[bytes]:
     return _WORD.findall(text.encode().lower())
@@ -127,7 +149,8 @@ class TokenAutomaton:
 
 
 class LicenseScanner:
-    def __init__(self, phrases: dict[str, str] = BASE_PHRASES, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, phrases: dict[str, str] = BASE_PHRASES, templates: dict[str, str] | None = None):
+        templates = TEMPLATES | body_templates() if templates is None else templates
         self.phrases = [(tokens(p), label) for p, label in phrases.items()]
         self.automata = [(label, TokenAutomaton.compile(t)) for label, t in templates.items()]
         self.starts = {label: sorted(a.first_words()) for label, a in self.automata}

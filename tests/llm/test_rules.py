@@ -213,3 +213,78 @@ def test_toxic_passage_after_its_words_have_occurred():
     assert [(a, b) for a, b, *_ in spans[0]] == [(len(mild), len(mild) + 11), (len(mild) + 2012, len(mild) + 2023)]
     assert len(spans[1]) == len(spans[2]) == 2 and len(spans[3]) == 1
     assert min(t[:3]) > 3 * model.cut and t[3] <= t[4]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+BSD_3 = BSD.format("""3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.""")
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+STANDARD = {
+    "mit-grant mit-text": MIT,
+    "bsd-redistribution bsd-2-clause": BSD.format(""),
+    "bsd-redistribution bsd-3-clause": BSD_3,
+    "apache apache-2.0 apache-2.0-notice": APACHE,
+    "gpl gpl-2.0 gpl-2.0-notice": GPL.format(";", ";", 2),
+    "gpl gpl-3.0 gpl-3.0-notice": GPL.format(":", ",", 3),
+    "mit mit-notice": "Released under the terms of the MIT License.",
+    "cc-by cc-by-4.0": "CC BY 4.0",
+    "cc-by cc-by-nc-4.0": "CC BY-NC 4.0",
+    "cc-by cc-by-sa-4.0": "CC BY-SA 4.0",
+    "cc-by-4.0-title": "Creative Commons Attribution 4.0 International Public License",
+    "cc-by-nc-4.0-title": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "cc-by-sa-4.0-title": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "copyright-notice": "Copyright (c) 2024, Jo Doe. All rights reserved.",
+}
+
+
+def test_every_template_on_its_standard_text():
+    import pyarrow as pa
+
+    from lagline.llm.licenses import TEMPLATES, body_templates
+    from lagline.llm.text import NOT_ALNUM, words_of
+
+    scanner = LicenseScanner()
+    labels = lambda texts: scanner.scan(words_of(pa.array(texts), NOT_ALNUM, lower=True))["labels"]
+    for got, want in zip(labels(["Foo. " + t + " Bar." for t in STANDARD.values()]), STANDARD, strict=True):
+        assert got.split(",") == sorted(want.split())
+    bodies = body_templates()
+    for (label, text), got in zip(bodies.items(), labels(["x " + t.upper() + " y" for t in bodies.values()]), strict=True):
+        assert label in got.split(","), label
+    assert {x for k in STANDARD for x in k.split()} | set(bodies) >= set(TEMPLATES) | set(bodies)
+    cut = [MIT.replace("NONINFRINGEMENT", ""), BSD_3.replace("NEGLIGENCE", ""), bodies["gpl-3.0-text"].replace("irrevocable", "", 1)]
+    assert not {"mit-text", "bsd-3-clause", "gpl-3.0-text"} & {x for got in labels(cut) for x in got.split(",")}
