@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one in its warehouse; a cluster is refused."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_dir = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     return set_dir.rstrip("/")
 
@@ -34,14 +37,54 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of stored(), once everything that reads it has been written."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lagline-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of a record batch that Spark hands to Python. Its own bound of 64 MB is a large part of a small executor's memory.
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """Has Spark cut the batches it hands to Python by bytes: a number of rows bounds nothing where texts are long. A session's own setting stays."""
+    if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
+def release() -> None:
+    """Gives back memory at the end of a task: Python workers are kept for later tasks, and what is free inside one would stay its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def reserved(df: DataFrame, *names: str) -> None:
+    """Refuses a table that has a column of the operator's own."""
+    clash = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if clash:
+        raise ValueError(f"reserved column names: {', '.join(clash)}")
+
+
 def numbered(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """The table with a number of its own for each row, and a hash of the row's values to order rows by.
 
     Both are written once to the shared folder, so every plan that reads the result sees the same numbers. The hash does
     not depend on how the table is cut into files; rows that the number must tell apart are equal in all hashed columns.
     """
-    flat = [f.name for f in df.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
-    return stored(df.withColumns({order: F.xxhash64(*flat), key: F.monotonically_increasing_id()}), name)
+    return stored(df.withColumns({order: row_hash(df), key: F.monotonically_increasing_id()}), name)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's values, without those of nested columns."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))])
 
 
 def partitions(spark: SparkSession) -> int:
@@ -56,7 +99,7 @@ def id_array(batch: pa.RecordBatch, column: str = "doc_id") -> tuple[np.ndarray,
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    return lean(df).mapInArrow(f, schema)
 
 
 class LabelledSample:

@@ -3,28 +3,36 @@
 A source with share w of the target and size s of the corpus T has the mean
 repetition rate w * T / s. Every document draws its number of copies from the
 Poisson distribution with that mean by inverting its distribution function at a
-uniform number that a hash of seed and doc_id gives: the same document gets the
-same count in every run and on every cluster. Documents are exploded by their
-count and dealt to partitions by a hash of (seed, doc_id, copy), and sorted by
-another inside them: a global shuffle without a global sort, in which no source
-meets in one place.
+uniform number that a hash of seed, doc_id, text and the row's number among rows
+equal in both gives: the same document gets the same count in every run and on
+every cluster, and documents without ids of their own draw apart. Documents are
+exploded by their count and dealt to partitions by a hash of that draw and the
+copy, and sorted by another inside them: a global shuffle without a global sort,
+in which no source meets in one place.
 
 Sizes are UTF-8 bytes of text plus one a document. Only one row a source is
 aggregated and joined back. Sources are counted first: up to broadcast_sources
 that side is broadcast and the text is shuffled once, for the deal; beyond, the
-join is left to Spark, which splits a source that holds a third of the rows.
+join is left to Spark, which splits a source that holds a third of the rows. Rows
+are numbered only if some are equal in doc_id and text, in two levels (inside a
+partition, then over partitions), so that no group of them is one task's.
 
 Defined results: a null source is a source of its own; null and empty texts are
-documents of size one; a source without a weight (or weight 0) is left out;
-repeated rows draw the same count each; an empty table gives an empty table;
-a column named copy or mix_* of the input is kept, the operator's own columns
-then win.
+documents of size one; texts of any length count whole; a source without a weight
+(or weight 0) is left out; an empty table gives an empty table; columns of the
+input named copy, mix_rate or mix_u (in any case) give way to the operator's own,
+all others are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import stored
 
 #: Digits of md5 that make the uniform number, and their range.
 HEX_DIGITS, HEX_RANGE = 13, float(1 << 52)
@@ -36,18 +44,22 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(HEX_RANGE)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... up to where the rest is below 1e-15; terms are summed from logarithms, so large rates don't underflow."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    log_rate = F.ln(rate)
-    zero = F.struct(F.array(F.exp(-rate)).alias("cdf"), (-rate).alias("log_term"))
-
-    def step(state: Column, k: Column) -> Column:
-        log_term = state["log_term"] + log_rate - F.ln(k.cast("double"))
-        cdf = F.concat(state["cdf"], F.array(F.element_at(state["cdf"], -1) + F.exp(log_term)))
-        return F.struct(cdf.alias("cdf"), log_term.alias("log_term"))
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """rates: source and rate. Adds least and cdf: P(X <= least), P(X <= least + 1), ... up to where the rest is below 1e-15.
 
-    return F.aggregate(F.sequence(F.lit(1), last), zero, step)["cdf"]
+    Terms are summed from logarithms, so large rates don't underflow. From a rate of 1000 on, values that are as unlikely
+    as 1e-30 are left out below as well: 24 standard deviations are the array's length.
+    """
+    key, rate = "source", F.col("rate")
+    least = F.when(rate < 1000, 0).otherwise(F.floor(rate - 12 * F.sqrt("rate") - 20)).cast("long")
+    n = F.greatest("least", F.lit(1)).cast("double")  # Stirling's series: exact to the last digits for n of hundreds
+    log_factorial = F.when(F.col("least") == 0, 0.0).otherwise((n + 0.5) * F.ln(n) - n + F.lit(math.log(2 * math.pi) / 2) + 1 / (12 * n) - 1 / (360 * n * n * n))
+    up_to = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    terms = rates.withColumn("least", least).withColumn("k", F.explode(F.sequence(F.col("least"), F.ceil(rate + 12 * F.sqrt("rate") + 20))))
+    factorial = log_factorial + F.sum(F.when(F.col("k") > F.col("least"), F.ln(F.greatest("k", F.lit(1)).cast("double"))).otherwise(0.0)).over(up_to)
+    terms = terms.withColumn("log_term", F.col("k") * F.ln("rate") - rate - factorial)
+    points = terms.withColumn("cdf", F.sum(F.exp("log_term")).over(up_to))
+    return points.groupBy(key, "rate", "least").agg(F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("p")).select(key, "rate", "least", F.col("p.cdf").alias("cdf"))
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5) -> DataFrame:
@@ -66,14 +78,32 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return target.select("source", (F.col("weight") / F.col("weights") * F.col("corpus") / F.col("size")).alias("rate"))
 
 
+def repeat_numbers(rows: DataFrame) -> DataFrame:
+    """rows: row (struct), id, hash. Adds nth: the row's number among rows of its id and hash."""
+    repeats = rows.groupBy("id", "hash").count().where("count > 1").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    if repeats.limit(1).isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    held = stored(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    keys = stored(repeats, "repeats")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    twins = held.select("id", "hash", "number", F.shiftright("number", 33).alias("part")).join(keys, same, "left_semi")
+    parts = twins.groupBy("id", "hash", "part").count()
+    before = parts.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("part").alias("_part"), F.coalesce(F.sum("count").over(Window.partitionBy("id", "hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("id", "hash", "part").orderBy("number")) - 1
+    nth = twins.withColumn("inside", inside).join(before, same & (F.col("part") == F.col("_part"))).select("number", (F.col("inside") + F.col("before")).alias("nth"))
+    return held.join(nth, "number", "left").withColumn("nth", F.coalesce("nth", F.lit(0)).cast("long")).drop("number")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, seed: str = "mix", broadcast_sources: int = 10_000) -> DataFrame:
     """All columns of docs, each row as often as drawn, with copy (from 0), mix_rate and mix_u; globally shuffled."""
-    own = [c for c in docs.columns if c not in ("copy", "mix_rate", "mix_u")]
-    rates = source_rates(docs, weights, alpha).select(F.col("source").alias("_source"), F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("_cdf"))
-    if docs.select("source").distinct().count() <= broadcast_sources:
+    own = [f"`{c}`" for c in docs.columns if c.lower() not in ("copy", "mix_rate", "mix_u")]
+    rates = poisson_cdf(source_rates(docs, weights, alpha))
+    if rates.select("source").limit(broadcast_sources + 1).count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    drawn = docs.select(*own, uniform(seed, F.col("doc_id")).alias("mix_u")).join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("mix_u")))
-    copies = drawn.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    copies = copies.withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", "copy"))
-    return copies.repartition("_at").sortWithinPartitions(F.xxhash64("_at")).select(*own, "copy", "mix_rate", "mix_u")
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("hash"))  # no column of docs stands beside the operator's
+    rows = repeat_numbers(rows).withColumn("mix_u", uniform(seed, F.col("id"), F.col("hash"), F.col("nth")))
+    drawn = rows.join(rates, F.col("row.source").eqNullSafe(F.col("source")))
+    count = F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
+    copies = drawn.select("row", "mix_u", F.col("rate").alias("mix_rate"), F.explode(F.sequence(F.lit(1).cast("long"), F.nullif(count, F.lit(0).cast("long")))).alias("copy"))
+    copies = copies.withColumn("copy", (F.col("copy") - 1).cast("int")).withColumn("at", F.xxhash64(F.lit(seed), "mix_u", "copy"))
+    return copies.repartition("at").sortWithinPartitions(F.xxhash64("at")).select("row.*", "copy", "mix_rate", "mix_u")

@@ -12,11 +12,19 @@ interchangeable, so the sweep runs over runs of equal sizes: the state is the
 number of pieces of each size and runs (gap, first sequence, number of
 sequences). It is bounded by capacity and supersteps, not by documents. What
 grows with the data stays in Spark: tokenising, counting sizes, ranking the
-pieces of a size (sizes that are common are split into hashed groups, each
-ranked by itself), and looking up each piece's sequence by (size, rank).
-
-Defined results: a null text is empty and becomes the closing id alone; equal
-documents are packed one by one; pieces of a repeated doc_id each get a place.
+pieces of a size, and looking up each piece's sequence by (size, rank).
+
+Ranks need no sort and no shuffle of pieces: each task numbers the pieces of a
+size as it writes them, and the tasks' counts are summed up in a table of one row
+a task and size, which is joined back. A size that a third of all pieces have is
+no group of its own anywhere. Which of several pieces of a size goes where
+depends on how the table is cut into tasks; how full the sequences get does not.
+
+Defined results: a null text is empty and becomes the closing id alone; texts of
+any length are cut into pieces, never shortened; equal documents are packed one
+by one; pieces of a repeated or null doc_id each get a place; an empty table gives
+no rows; pack() passes other columns through and refuses names that begin with
+_lag_, sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -26,18 +34,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import lean, reserved, stored
 from .text import blocks, buffer_of
 
+NUMBERS = ("_lag_task", "_lag_nth")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer, capacity: int, end_id: int) -> DataFrame:
-    """Length and checksum of every piece of every document; whole texts, ids by the tokenizer and then end_id."""
+def piece_cutter(tokenizer, capacity: int, end_id: int):
+    """A function of record batches with doc_id and text: length and checksum of every piece of every document; whole texts, ids by the tokenizer and then end_id."""
 
     def cut(batches):
         for b in blocks(batches, max_bytes=1 << 20):
@@ -54,7 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer, capacity: int, end_id: int) -> Data
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return cut
 
 
 @dataclass
@@ -124,43 +134,56 @@ def best_fit_layout(counts: np.ndarray, capacity: int) -> Layout:
     return Layout(*columns, sequences=sequences, supersteps=supersteps)
 
 
-def pack(pieces: DataFrame, capacity: int, group_rows: int = 2_000, max_groups: int = 64) -> DataFrame:
+def places_in_size(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """For every entry, how many entries of its size stand before it; seen holds the counts of earlier batches and is brought up to date."""
+    order = np.argsort(lengths, kind="stable")
+    held = lengths[order]
+    new = np.concatenate(([True], held[1:] != held[:-1]))[: len(held)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(held) else np.zeros(0, np.int64)
+    out = np.empty(len(lengths), np.int64)
+    out[order] = np.arange(len(lengths)) - first + seen[held]
+    np.add.at(seen, lengths, 1)
+    return out
+
+
+def numbered(batches, names: list[str], capacity: int):
+    """Record batches with the task that writes them, and each piece's place among the task's pieces of its size."""
+    seen, task = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+    for b in batches:
+        nth = places_in_size(b.column("length").to_numpy(), seen)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.full(len(nth), task, np.int64)), pa.array(nth)], [*names, *NUMBERS])
+
+
+def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces: length (1 to capacity) and any other columns. Adds sequence_id and offset (long)."""
+    reserved(pieces, "sequence_id", "offset", *(c for c in pieces.columns if c.lower().startswith("_lag_")))
+    names = pieces.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    held = lean(pieces).mapInArrow(lambda batches: numbered(batches, names, capacity), f"{schema}, _lag_task long, _lag_nth long")
+    return _laid_out(stored(held, "pieces"), names, schema, capacity)
+
+
+def pack_documents(docs: DataFrame, tokenizer, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    cut, names = piece_cutter(tokenizer, capacity, end_id), ["doc_id", "piece", "start", "length", "ids_crc32"]
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = texts.mapInArrow(lambda batches: numbered(cut(batches), names, capacity), f"{PIECES}, _lag_task long, _lag_nth long")
+    return _laid_out(stored(held, "pieces"), names, PIECES, capacity)
+
+
+def _laid_out(held: DataFrame, names: list[str], schema: str, capacity: int) -> DataFrame:
+    tasks = stored(held.groupBy("length", "_lag_task").agg(F.count(F.lit(1)).alias("_lag_n")), "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)
-    for n, c in pieces.groupBy("length").count().collect():  # capacity rows at most
+    for n, c in tasks.groupBy("length").agg(F.sum("_lag_n")).collect():  # capacity rows at most
         counts[n] = c
     layout = best_fit_layout(counts, capacity)
-    groups = np.clip(-(-counts // group_rows), 1, max_groups)  # hashed groups of each size
-    others = [c for c in pieces.columns if c != "length"]
-
-    def grouped(batches):
-        for b in batches:
-            n = b.column("length").to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(b.columns[-1].to_numpy() % groups[n])], b.schema.names)
-
-    keyed = pieces.withColumn("_group", F.xxhash64(*others).bitwiseAND(F.lit((1 << 62) - 1)))
-    keyed = keyed.mapInArrow(grouped, keyed.schema)
-    before: dict[tuple[int, int], int] = {}
-    at: dict[int, int] = {}
-    for n, g, c in sorted(map(tuple, keyed.groupBy("length", "_group").count().collect())):  # max_groups * capacity rows at most
-        before[n, g] = at.get(n, 0)
-        at[n] = at.get(n, 0) + c
-    base = np.zeros((capacity + 1, max_groups), np.int64)
-    for (n, g), first in before.items():
-        base[n, g] = first
-    names = pieces.columns
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy(*others)).cast("long") - 1)
+    before = F.sum("_lag_n").over(Window.partitionBy("length").orderBy("_lag_task").rowsBetween(Window.unboundedPreceding, -1))  # a row a task in each size
+    starts = tasks.select("length", "_lag_task", F.coalesce(before, F.lit(0)).alias("_lag_before"))
+    ranked = held.join(starts, ["length", "_lag_task"]).select(*names, (F.col("_lag_before") + F.col("_lag_nth")).alias("_lag_rank"))
 
     def placed(batches):
         for b in batches:
-            n, g, r = (b.column(c).to_numpy() for c in ("length", "_group", "_rank"))
-            sequence, offset = layout.place(n, base[n, g] + r)
+            sequence, offset = layout.place(b.column("length").to_numpy(), b.column("_lag_rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
-
-
-def pack_documents(docs: DataFrame, tokenizer, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)

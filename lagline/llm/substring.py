@@ -11,10 +11,12 @@ of equals), a function of the window's words alone. Windows with one anchor
 place are consecutive, so a document of n windows has about 2 n / (window -
 gram + 2) runs (anchor, hash of all words of the run, place).
 
-1. Each row gets a number of its own, written once to the shared folder; rows are
-   dealt, ordered and cut into blocks by it, the same way in all three passes, and
-   verdicts are joined back by it. This exchange serves all three passes. Each block of documents settles what it can alone: of equal runs only the
-   first goes on, the others are duplicates.
+1. Each row has a key: doc_id, a hash of its values and, only where two rows agree
+   in both, a number that is written once to the shared folder. Rows are dealt,
+   ordered and cut into blocks by it, the same way in all three passes, and verdicts
+   are joined back by it. This exchange serves all three passes. Each block of
+   documents settles what it can alone: of equal runs only the first goes on, the
+   others are duplicates.
 2. First runs meet by anchor, at most one a block and anchor. Of equal runs all
    but the first are duplicates. A run that is the only one of its anchor has no
    duplicate windows. What is left open are first runs of anchors with several
@@ -25,15 +27,15 @@ gram + 2) runs (anchor, hash of all words of the run, place).
 Two independent 64-bit hashes of the same words decide (anchor and run, anchor
 and window). Order is doc_id, then a hash of the row's values, then its number
 (only between rows that are equal), then word position. Nothing is capped; a passage
-in a third of all documents gives each task one row a block at most in step 2,
-and in step 3 one row a block for each different window.
+in a third of all documents gives one row a block of 1 MB at most in step 2, and
+in step 3 one row a block for each different window.
 
 Defined results: a null text has no words; every row is a document of its own,
 also where rows repeat a doc_id or have none, and of equal rows one keeps its
 words; a null doc_id comes before all others; texts shorter than a window lose
-nothing; an empty table gives an empty
-table; other columns are passed through (names that begin with _lag_ are
-reserved).
+nothing; texts of any length are whole (one may exceed a block); an empty table
+gives an empty table; other columns are passed through (names that begin with
+_lag_ are refused).
 """
 
 from __future__ import annotations
@@ -46,10 +48,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import numbered, partitions
+from .common import lean, numbered, partitions, reserved, row_hash
 from .text import Words, _power_tables, covered, mix, ngram_hashes, steady_blocks, words_of
 
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 PARTITION_BYTES = 24 << 20
 _PLACE = 26  # bits for a word's position in a block, below the hash that picks anchors
 _KEY, _DOC, _HASH = "_lag_id", "_lag_doc", "_lag_hash"
@@ -173,16 +175,57 @@ def open_windows(r: Runs, s: Settled, ids: np.ndarray, row: np.ndarray, place: n
     return window[keep], run[keep], window[order[later]]
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
-    """All columns of docs, with _lag_n_words, _lag_n_removed and _lag_kept (the words that stay, joined by one space)."""
+def kept_text(w: Words, removed: np.ndarray, spacing: bool) -> pa.Array:
+    """The texts of a block without the removed words, by masks over its bytes.
+
+    Words are joined by one blank; with spacing, a removed word goes with the white space after it and all else stays.
+    """
+    n, size = len(w.start), len(w.data)
+    kept = np.flatnonzero(~removed)
+    edge = np.zeros(size + 1, np.int8)
+    data = w.data
+    if spacing:
+        past = np.append(w.start[1:], size)
+        last = w.first[1:][w.counts > 0] - 1
+        past[last] = w.offsets[1:][w.counts > 0]
+        gone = np.flatnonzero(removed)
+        edge[w.start[gone]] += 1
+        edge[past[gone]] -= 1
+        mask = np.cumsum(edge[:size], dtype=np.int8) == 0
+    else:
+        edge[w.start[kept]] += 1
+        edge[w.end[kept]] -= 1
+        mask = np.cumsum(edge[:size], dtype=np.int8) > 0
+        if len(kept):
+            inner = np.flatnonzero(w.doc[kept[1:]] == w.doc[kept[:-1]])  # kept words with another one after them
+            blank = w.end[kept[inner]]
+            data = data.copy()
+            data[blank] = 0x20
+            mask[blank] = True
+    before = np.zeros(size + 1, np.int32)
+    np.cumsum(mask, out=before[1:], dtype=np.int32)
+    return pa.StringArray.from_buffers(w.docs, pa.py_buffer(before[w.offsets]), pa.py_buffer(data[mask]))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """docs with _DOC, _HASH and _KEY, which together are a row's own; null ids come first. The table is written only if rows repeat."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
+    plain = docs.withColumns({_DOC: doc, _HASH: row_hash(docs)})
+    if plain.groupBy(_DOC, _HASH).count().where("count > 1").limit(1).isEmpty():
+        return plain.withColumn(_KEY, F.lit(0).cast("long"))
+    return numbered(docs, _KEY, _HASH, "numbered").withColumn(_DOC, doc)
+
+
+def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8, spacing: bool = False) -> DataFrame:
+    """All columns of docs, with _lag_n_words, _lag_n_removed and _lag_kept (the words that stay, joined by one space; with spacing, the white space between them as it was)."""
     if window - gram + 1 >= 1 << 13:
         raise ValueError("window is too long")
-    spark = docs.sparkSession
+    reserved(docs, *(c for c in docs.columns if c.lower().startswith("_lag_")))
+    spark = lean(docs).sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(partitions(spark), -(-int(size) // PARTITION_BYTES))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
-    dealt = numbered(docs, _KEY, _HASH, "numbered").withColumn(_DOC, doc).repartition(n, _KEY)
     row_columns, row_schema = (_DOC, _HASH, _KEY), f"{_DOC} long, {_HASH} long, {_KEY} long"
+    dealt = keyed_rows(docs).repartition(n, *row_columns)
 
     def prepared(batches):
         for b in steady_blocks(batches, BLOCK):
@@ -201,19 +244,19 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
             place = pack_place(r.start[chosen], r.count[chosen], s.face[chosen].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(r.anchor[chosen].view(np.int64)), pa.array(r.run[chosen].view(np.int64)), *of_rows(b, r.doc[chosen]), pa.array(place)], ["anchor", "run", *row_columns, "place"])
 
-    runs = dealt.sortWithinPartitions(_KEY).mapInArrow(first_runs, f"anchor long, run long, {row_schema}, place long")
+    runs = dealt.sortWithinPartitions(*row_columns).mapInArrow(first_runs, f"anchor long, run long, {row_schema}, place long")
     by_anchor, by_run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "run").orderBy(*row_columns, "place")
     seen = runs.select(
         "*",
-        (F.first(_KEY).over(by_run)).alias("_row"),
+        F.first(F.struct(*row_columns)).over(by_run).alias("_row"),
         F.shiftright(F.first("place").over(by_run), 1).alias("_at"),
         ((F.min("run").over(by_anchor) != F.max("run").over(by_anchor)) | (F.max(F.col("place").bitwiseAND(1)).over(by_anchor) == 1)).alias("_several"),
     )
-    is_first = (F.col(_KEY) == F.col("_row")) & (F.shiftright("place", 1) == F.col("_at"))
+    is_first = (F.struct(*row_columns) == F.col("_row")) & (F.shiftright("place", 1) == F.col("_at"))
     # kind 1: duplicate, kind 0: open
-    verdict = seen.where(~is_first | F.col("_several")).select(_KEY, (F.shiftleft(F.shiftright("place", 1), 1) + F.when(is_first, 0).otherwise(1)).alias("v"))
-    run_verdicts = verdict.repartition(n, _KEY).groupBy(_KEY).agg(F.collect_list("v").alias("_lag_runs"))
-    known = dealt.join(run_verdicts.hint("merge"), _KEY, "left")
+    verdict = seen.where(~is_first | F.col("_several")).select(*row_columns, (F.shiftleft(F.shiftright("place", 1), 1) + F.when(is_first, 0).otherwise(1)).alias("v"))
+    run_verdicts = verdict.repartition(n, *row_columns).groupBy(*row_columns).agg(F.collect_list("v").alias("_lag_runs"))
+    known = dealt.join(run_verdicts.hint("merge"), list(row_columns), "left")
 
     def windows(batches):
         for b, _, ids, r, s in prepared(batches):
@@ -223,10 +266,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
 
     by_words = Window.partitionBy("anchor", "words").orderBy(*row_columns, "start")
     compared = known.mapInArrow(windows, f"anchor long, words long, {row_schema}, start long")
-    compared = compared.select("*", F.first(_KEY).over(by_words).alias("_row"), F.first("start").over(by_words).alias("_at"))
-    later = compared.where(f"{_KEY} != _row or start != _at").select(_KEY, "start")
-    window_verdicts = later.repartition(n, _KEY).groupBy(_KEY).agg(F.collect_list("start").alias("_lag_windows"))
-    decided = known.join(window_verdicts.hint("merge"), _KEY, "left")
+    compared = compared.select("*", F.first(F.struct(*row_columns, "start")).over(by_words).alias("_row"))
+    later = compared.where(F.struct(*row_columns, "start") != F.col("_row")).select(*row_columns, "start")
+    window_verdicts = later.repartition(n, *row_columns).groupBy(*row_columns).agg(F.collect_list("start").alias("_lag_windows"))
+    decided = known.join(window_verdicts.hint("merge"), list(row_columns), "left")
     names = docs.columns
 
     def remove(batches):
@@ -237,13 +280,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
             alone_row, alone = verdicts(b.column("_lag_windows"), b.num_rows)
             starts = np.concatenate((r.start_w[expand(r.first, gone)[0]], r.start_w[local], w.first[alone_row] + alone))
             removed = covered(starts, window, len(w.start))
-            kept_words = np.flatnonzero(~removed)
-            text = w.data.tobytes()
-            edges = np.searchsorted(kept_words, w.first)
-            a, z = w.start[kept_words].tolist(), w.end[kept_words].tolist()
-            kept = [b" ".join([text[i:j] for i, j in zip(a[p:q], z[p:q], strict=True)]) for p, q in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            counts = w.counts.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(counts), pa.array(counts - np.diff(edges)), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "_lag_n_words", "_lag_n_removed", "_lag_kept"])
+            gone_words = np.concatenate(([0], np.cumsum(removed)))[w.first]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(w.counts.astype(np.int64)), pa.array(np.diff(gone_words).astype(np.int64)), kept_text(w, removed, spacing)], [*names, "_lag_n_words", "_lag_n_removed", "_lag_kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return decided.mapInArrow(remove, f"{schema}, _lag_n_words long, _lag_n_removed long, _lag_kept string")

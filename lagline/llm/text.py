@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release
+
 BLOCK_BYTES = 1 << 20
 #: Delimiters of `[^\x20\x09-\x0D]+`.
 SPACES = np.zeros(256, bool)
@@ -54,6 +56,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def for_cut(ids: np.ndarray) -> np.ndarray:
+    """Marks the fifth of all ids that thresholds are chosen on; nothing else is learned from them."""
+    return mix(ids.astype(np.uint64)) % np.uint64(5) == 0
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of every data[start:end]; equal bytes give equal hashes wherever they stand."""
     if not len(start):
@@ -138,44 +145,61 @@ def words_of(texts: pa.Array, delimiters: np.ndarray = SPACES, lower: bool = Fal
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the texts of each piece hold about max_bytes at most; one longer text is a piece."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-        at = 0
-        while at < batch.num_rows:
-            past = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + max_bytes, side="right")))
-            yield batch.slice(at, past - at)
-            at = past
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            at = 0
+            while at < batch.num_rows:
+                past = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + max_bytes, side="right")))
+                yield batch.slice(at, past - at)
+                at = past
+    finally:
+        _shrink()
 
 
 def steady_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """blocks() whose cuts depend on the rows and their order only, not on where a record batch ends."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
-        total, at = np.cumsum(sizes), 0
-        while at < batch.num_rows:
-            room = max_bytes - size + (int(total[at - 1]) if at else 0)
-            past = int(np.searchsorted(total, room, side="right"))
-            past = max(past, at if held else at + 1)  # one longer text is a block
-            if past > at:
-                held.append(batch.slice(at, past - at))
-                size += int(total[past - 1]) - (int(total[at - 1]) if at else 0)
-            at = past
-            if at < batch.num_rows:
-                yield pa.concat_batches(held) if len(held) > 1 else held[0]
-                held, size = [], 0
-    if held:
-        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            total, at = np.cumsum(sizes), 0
+            while at < batch.num_rows:
+                room = max_bytes - size + (int(total[at - 1]) if at else 0)
+                past = int(np.searchsorted(total, room, side="right"))
+                past = max(past, at if held else at + 1)  # one longer text is a block
+                if past > at:
+                    held.append(batch.slice(at, past - at))
+                    size += int(total[past - 1]) - (int(total[at - 1]) if at else 0)
+                at = past
+                if at < batch.num_rows:
+                    yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                    held, size = [], 0
+        if held:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+    finally:
+        held.clear()
+        _shrink()
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into pieces of at most so many rows, so that only a piece is held as Python objects."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        _shrink()
+
+
+def _shrink() -> None:
+    """At the end of a task: the power tables of a very long text go, and free memory goes back to the system."""
+    if len(_powers[0]) > 4 * BLOCK_BYTES:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    release()
 
 
 def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -16,8 +16,10 @@ cumulative lengths of its segments (from 0), position_resets the places where
 positions start again at 0 (every segment start and, if there is one, the
 start of the padding).
 
-Defined results: null and empty texts are the closing id alone; repeated rows
-are packed one by one.
+Defined results: null and empty texts are the closing id alone; texts of any
+length are cut, never shortened; repeated rows are packed one by one; a null doc_id
+stays null in doc_ids; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .text import blocks, buffer_of
 
 SCHEMA = "sequence_id long, n_tokens int, id_bytes int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
@@ -127,7 +130,7 @@ def packed_rows(docs: DataFrame, tokenizer, end_id: int, row_length: int = 4096,
         if held:
             yield from flush(held, next_id)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Features of a token are the hashed word and its hashed stem (its first bytes).
+Features of a token are the hashed word and its hashed stem (its first bytes, up
+to the end of a character).
 Fitting counts the documents that have a feature, three ways: over all documents
 (the informative Dirichlet prior) and over the toxic and the clean rows of a
 bounded labelled sample; a word that one document repeats counts once. A
@@ -13,7 +14,7 @@ Scoring walks every whole text once: all maximal scoring segments (the
 linear-time stack algorithm for "all maximal scoring subsequences") are found
 over its runs of positive tokens, each gets an extreme-value P-value
 1 - exp(-n exp(-lambda S)) with lambda from the score distribution of clean
-text, and the significant ones are the passages. A word repeated over and over is
+text that no feature was learned from, and the significant ones are the passages. A word repeated over and over is
 a passage, but not ever more evidence: a segment's weight is that of its best part
 in which each feature counts max_repeats times at most, so it depends on the
 segment alone and not on what stands elsewhere in the text. The weights are
@@ -24,8 +25,11 @@ a fifth of the sample from which no feature was learned.
 Bounds: n_buckets counts and max_labels labelled rows leave the executors; no
 text is shuffled. Only text enters a score.
 
-Defined results: null and empty texts have no tokens and score 0; repeated rows
-each get a row; without both kinds of labels every score is 0.
+Defined results: null and empty texts have no tokens and score 0; texts of any
+length are scanned whole (one may exceed a block); repeated rows each get a row,
+and of several labels of an id the largest counts; a null doc_id stays null;
+without both kinds of labels every score is 0; an empty table gives an empty
+table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LabelledSample, best_f1_threshold, id_array
-from .text import NOT_ALNUM, Words, blocks, mix, span_hashes, words_of
+from .common import LabelledSample, best_f1_threshold, id_array, lean
+from .text import NOT_ALNUM, Words, blocks, for_cut, mix, span_hashes, words_of
 
 SEGMENTS = "array<struct<first:int,last:int,score:double,p_value:double>>"
 
@@ -59,7 +63,12 @@ class ToxicityParams:
 
 def token_buckets(w: Words, p: ToxicityParams) -> np.ndarray:
     """Buckets of each token's features, as two rows: the word, and its stem (a word no longer than a stem is its own)."""
-    stem = span_hashes(w.data, w.start, np.minimum(w.end, w.start + p.stem_bytes))
+    end = np.minimum(w.end, w.start + p.stem_bytes)
+    for _ in range(3):  # a character has at most three bytes after its first
+        inside = end < w.end
+        inside[inside] = w.data[end[inside]] & 0xC0 == 0x80
+        end = end + inside
+    stem = span_hashes(w.data, w.start, end)
     return np.stack([(h % np.uint64(p.n_buckets)).astype(np.int64) for h in (w.hashes(), mix(stem + np.uint64(1)))])
 
 
@@ -211,8 +220,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     """Learns from labelled rows whose crc32(doc_id as text) mod held_out_of is not 0."""
     sample = LabelledSample(labels, "toxic", params.max_labels, F.crc32(F.col("doc_id").cast("string")) % held_out_of != 0)
     size = params.n_buckets
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for_cut = lambda ids: mix(ids.astype(np.uint64)) % np.uint64(5) == 0
+    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def count(batches):
         found = np.zeros((2, 3, size), np.int64)
@@ -252,7 +260,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
 
     def spread(batches):
         found = np.zeros((len(models), bins), np.int64)
-        for _, w in labelled(batches, lambda ids, y: y == 0):
+        for _, w in labelled(batches, lambda ids, y: (y == 0) & for_cut(ids)):
             for row, m in zip(found, models, strict=True):
                 row += np.bincount(np.clip(np.round((m.tokens(w) + high) / step), 0, bins - 1).astype(np.int64), minlength=bins)
         at = np.flatnonzero(found)
@@ -293,4 +301,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             passages = pa.array([[dict(zip(("first", "last", "score", "p_value"), s, strict=True)) for s in found] for found in spans], kind)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), passages], ["doc_id", "score", "predicted", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, f"doc_id long, score double, predicted int, passages {SEGMENTS}")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, f"doc_id long, score double, predicted int, passages {SEGMENTS}")

@@ -98,6 +98,26 @@ def test_substring_dedup(docs, rows, window, gram):
     assert got == want and sum(x[1] for x in want.values()) > 100
 
 
+def test_kept_text_by_masks():
+    import numpy as np
+    import pyarrow as pa
+
+    from lagline.llm.substring import kept_text
+    from lagline.llm.text import words_of
+
+    rng = random.Random(2)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(["a", "é", "bc", " ", "\n", "  "]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    w = words_of(pa.array(texts))
+    removed = np.array([rng.random() < 0.4 for _ in w.start], bool)
+    plain, spaced = (kept_text(w, removed, s).to_pylist() for s in (False, True))
+    for d, t in enumerate(texts):
+        raw, gone = (t or "").encode(), removed[w.first[d] : w.first[d + 1]]
+        found = list(WORD.finditer(raw))
+        assert plain[d].encode() == b" ".join(m[0] for m, g in zip(found, gone, strict=True) if not g)
+        at = [m.start() for m in found] + [len(raw)]
+        assert spaced[d].encode() == raw[: at[0]] + b"".join(raw[at[k] : at[k + 1]] for k in range(len(found)) if not gone[k])
+
+
 def test_substring_dedup_in_small_blocks(docs, rows, monkeypatch):
     """Many blocks a partition: what one block settles alone must agree with what blocks settle together."""
     from lagline.llm import substring
@@ -198,3 +218,40 @@ def test_components(spark):
     assert all(u.root(n) == r for n, r in got.items())
     assert {n for n in u.up if u.root(n) != n} <= set(got)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_nodes_that_collide_are_told_apart(docs, rows):
+    """Nodes of a few bits: almost all stand for several sets at first."""
+    p = JaccardParams(shingle=3, num=60, max_posting=2, node_bits=4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(docs, p).collect()}
+    assert got == plain_classes([r[:2] for r in rows], p.shingle, p.num, p.den)
+
+
+def test_hot_posting_lists(spark):
+    """Lists measured by grouped aggregates, in the first round and in later ones, give the same classes."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 3, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i if i % 9 else None, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("a")).repartition(7)
+    want = plain_classes([(k, t) for k, (_, t) in enumerate(rows)], 3, 80, 100)  # by row number, as ids repeat
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[want[k][1]] = min(i, least.get(want[k][1], i))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(df, JaccardParams(shingle=3, num=80, max_posting=3, hot_posting=6)).collect())
+    assert got == Counter((i, want[k][0], least.get(want[k][1])) for k, (i, _) in enumerate(rows))
+
+
+def test_classes_of_very_long_near_copies_and_null_ids(spark, monkeypatch):
+    from lagline.llm import text
+
+    monkeypatch.setattr(text, "BLOCK_BYTES", 2000)
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, long), (4, long + " end"), (None, "a b c d e f g"), (None, "a b c d e f g"), (2, "")]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, 4), (4, 4), (None, None), (None, None), (2, 2)])
