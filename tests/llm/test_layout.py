@@ -10,42 +10,76 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagline.llm.mixing import mix_sources
-from lagline.llm.packing import best_fit_layout, pack_documents
+from lagline.llm.packing import best_fit_layout, pack, pack_documents, places_in_size
 from lagline.llm.sharding import ring, shard_documents, shard_rows, walk
 from lagline.llm.token_output import CapacityTree, best_fit_decreasing, packed_rows
 from lagline.llm.topk import TopkParams, top_k
 
 
-def test_mixing_inverts_the_poisson_distribution(docs, rows):
-    got = mix_sources(docs.withColumn("copy", F.lit(5)))
-    size = Counter()
-    for _, t, _, s, _ in rows:
+def drawn_copies(data, seed="mix"):
+    """(doc_id, text, source) rows: how many copies each draws, by inverting the distribution function term by term."""
+    size, seen, out = Counter(), Counter(), []
+    for _, t, s in data:
         size[s] += len((t or "").encode()) + 1
     weight = {s: math.sqrt(v) for s, v in size.items()}
-    want = Counter()
-    for i, _, _, s, _ in rows:
+    for i, t, s in data:
         rate = weight[s] / sum(weight.values()) * sum(size.values()) / size[s]
-        u = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        key = f"{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}"
+        u = int(hashlib.md5(f"{seed}:{key}:{seen[key]}".encode()).hexdigest()[:13], 16) / 2**52
+        seen[key] += 1
         n, term, total = 0, math.exp(-rate), math.exp(-rate)
         while total <= u:
             n += 1
             term *= rate / n
             total += term
-        if n:
-            want[i] = n
+        out.append(n)
+    return out
+
+
+def test_mixing_inverts_the_poisson_distribution(docs, rows):
+    got = mix_sources(docs.withColumn("copy", F.lit(5)))
+    want = {i: n for (i, *_), n in zip(rows, drawn_copies([(i, t, s) for i, t, _, s, _ in rows]), strict=True) if n}
     copies = got.groupBy("doc_id").agg(F.collect_set("copy").alias("c")).collect()
-    assert {r.doc_id: len(r.c) for r in copies} == dict(want)
+    assert {r.doc_id: len(r.c) for r in copies} == want
     assert all(sorted(r.c) == list(range(len(r.c))) for r in copies)
 
 
+def test_mixing_of_repeated_and_missing_ids_and_clashing_columns(spark):
+    """Rows without an id of their own draw apart, equal rows too; no column of the input is lost or mistaken for the operator's."""
+    data = [(None, f"text {k % 40}", "s") for k in range(300)] + [(7, "x", "s")] * 200 + [(7, "y", "t")] * 20 + [(8, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    extra = {c: F.lit(6) for c in ("_n", "_at", "_cdf", "_source", "row", "rate", "cdf", "least", "at", "id", "hash", "nth")}
+    got = mix_sources(df.withColumns(extra).withColumn("MIX_U", F.lit(1)).repartition(5))
+    assert got.columns == ["doc_id", "text", "source", *extra, "copy", "mix_rate", "mix_u"]
+    held = got.collect()
+    assert all(r[c] == 6 for r in held for c in extra)
+    want = Counter()
+    for (i, t, _), n in zip(data, drawn_copies(data), strict=True):
+        want[i, t] += n
+    assert Counter((r.doc_id, r.text) for r in held) == +want
+    assert len({r.mix_u for r in held if r.text == "x"}) > 50
+
+
 def test_mixing_large_rates_missing_weights_and_nothing(spark, nothing):
     df = spark.createDataFrame([(i, "x", "small") for i in range(20)] + [(100 + i, "x" * 2000, "big") for i in range(20)] + [(200, "x", None)], "doc_id long, text string, source string")
-    got = mix_sources(df, {"small": 1.0, "big": 1.0}).groupBy("source").count().collect()
-    n = {r.source: r["count"] for r in got}
-    assert set(n) == {"small", "big"} and n["small"] > 5_000  # a mean rate of about 500: no underflow
+    for share, mean in ((1.0, 500), (9.0, 900), (39.0, 975)):  # rates below and above where the array starts at 0
+        got = mix_sources(df.union(df.where("source = 'big'")), {"small": share, "big": 1.0}).groupBy("source").count().collect()
+        n = {r.source: r["count"] for r in got}
+        assert set(n) <= {"small", "big"} and abs(n["small"] / 40 / mean - 1) < 0.2 * (1 + (share == 1.0))
     assert mix_sources(nothing).count() == 0
 
 
+def test_poisson_distribution_of_large_rates(spark):
+    from lagline.llm.mixing import poisson_cdf
+
+    rows = poisson_cdf(spark.createDataFrame([("a", 0.3), ("b", 999.0), ("c", 1000.0), ("d", 40_000.0)], "source string, rate double")).collect()
+    for r in rows:
+        k = np.arange(r.least, r.least + len(r.cdf))
+        log_factorial = np.array([math.lgamma(x + 1) for x in k.tolist()])
+        want = np.cumsum(np.exp(k * math.log(r.rate) - r.rate - log_factorial))
+        assert np.abs(np.array(r.cdf) - want).max() < 1e-9 and r.cdf[-1] > 1 - 1e-9 and (r.least == 0) == (r.rate < 1000)
+
+
 def test_ring_walk_is_full_and_gapless(docs, rows):
     got = shard_documents(docs, 24).collect()
     by = Counter(r.shard for r in got)
@@ -123,6 +157,28 @@ def test_layout_ranks_are_whole_and_near_the_bound(seed):
     assert layout.sequences <= 1.05 * least + 1
 
 
+def test_places_in_size():
+    rng, seen, n = np.random.default_rng(2), np.zeros(9, np.int64), Counter()
+    for _ in range(5):
+        sizes = rng.integers(1, 9, rng.integers(0, 30))
+        want = []
+        for x in sizes.tolist():
+            want.append(n[x])
+            n[x] += 1
+        assert places_in_size(sizes, seen).tolist() == want
+
+
+def test_packing_keeps_other_columns_and_one_common_size(spark):
+    pieces = spark.range(3000).select((F.col("id") % 3 + 4).alias("length"), F.col("id").alias("_group"), F.lit("x").alias("_rank")).union(spark.range(2000).select(F.lit(10), F.lit(-1), F.lit("x"))).repartition(7)
+    got = pack(pieces, 10)
+    assert got.columns == ["length", "_group", "_rank", "sequence_id", "offset"]
+    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("p")).collect()
+    assert sum(r.n for r in used) == 35_000 and max(r.n for r in used) <= 10 and len(used) <= 3502
+    assert all(p[0] == sum(x[1] for x in r.p[:k]) for r in used for k, p in enumerate(r.p))
+    with pytest.raises(ValueError, match="reserved"):
+        pack(pieces.withColumn("Offset", F.lit(1)), 10)
+
+
 def test_packing_of_nothing_and_repeated_rows(spark, nothing):
     assert pack_documents(nothing, letters(), 16, 1).count() == 0
     df = spark.createDataFrame([(1, "abc"), (1, "abc"), (None, None)], "doc_id long, text string")
@@ -181,20 +237,41 @@ def test_segment_tree_finds_the_tightest_row():
     assert n == 2 and row[0] == row[3] and row[1] == row[2]
 
 
-@pytest.mark.parametrize("params", [TopkParams(k=5, n_pivots=4, n_annuli=3, part_rows=16, query_rows=4), TopkParams(k=200)])
+def plain_top_k(rows, k):
+    """Counter of (query_id, rank, vec_id, score) over rows of (vec_id, vector), whole numbers of any size."""
+    fine = []
+    for i, v in rows:
+        if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v):
+            fine.append((i, [math.floor(64 * float(np.float64(c))) for c in v]))
+    out = Counter()
+    for q, v in fine:
+        if q % 20 == 0:
+            scored = [(min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(v, y, strict=False)))), i) for i, y in fine if i != q]
+            out.update((q, r + 1, i, s) for r, (s, i) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:k]))
+    return out
+
+
+@pytest.mark.parametrize("params", [TopkParams(k=5, n_pivots=4, n_annuli=3, part_rows=16, query_rows=3), TopkParams(k=200)])
 def test_top_k_equals_all_pairs(spark, params):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(150, 8)).round(3)
     x[40:60] = x[40]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] + [0.0] * 7), (504, [1.0]), (None, [0.0] * 8), (20, x[3].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    fine = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows[:150] + rows[-1:]]
-    got = Counter((r.query_id, r.vec_id, r.score) for r in top_k(df, F.col("vec_id") % 20 == 0, params).select("query_id", "vec_id", "score").distinct().collect())
-    want = Counter()
-    for q, v in {(i, tuple(v)) for i, v in fine if i % 20 == 0 and i != 20}:
-        best = sorted(((int(np.dot(v, y)), -i) for i, y in fine if i != q), reverse=True)[: params.k]
-        want.update({(q, -i, s) for s, i in best})
-    assert {g for g in got if g[0] != 20} == set(want)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] + [0.0] * 7), (504, [1.0]), (520, []), (None, [0.0] * 8), (20, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit("a"), "v": F.lit(1), "key": F.lit(2)}).repartition(3)
+    got = Counter(tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, params).collect())
+    assert got == plain_top_k(rows, params.k)
+
+
+@pytest.mark.parametrize("large", [2e6, 3e14, 1e160])
+def test_top_k_of_large_components(spark, large):
+    """Components far beyond those of embeddings take part, with exact scores; beyond a long, the largest long."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 5)).round(3)
+    x[7, 2], x[8, 2], x[40, 1:3], x[41, 2] = large, -large, (large / 3, large), large * (1 + 2**-40)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    p = TopkParams(k=4, n_pivots=5, n_annuli=3, part_rows=20)
+    assert Counter(tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, p).collect()) == plain_top_k(rows, 4)
 
 
 def test_top_k_of_nothing(spark):
