@@ -207,13 +207,13 @@ def kept_text(w: Words, removed: np.ndarray, spacing: bool) -> pa.Array:
     return pa.StringArray.from_buffers(w.docs, pa.py_buffer(before[w.offsets]), pa.py_buffer(data[mask]))
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    """docs with _DOC, _HASH and _KEY, which together are a row's own; null ids come first. The table is written only if rows repeat."""
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """docs with the columns that together are a row's own, and their names; null ids come first. The table is written only if rows repeat."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
     plain = docs.withColumns({_DOC: doc, _HASH: row_hash(docs)})
     if plain.groupBy(_DOC, _HASH).count().where("count > 1").limit(1).isEmpty():
-        return plain.withColumn(_KEY, F.lit(0).cast("long"))
-    return numbered(docs, _KEY, _HASH, "numbered").withColumn(_DOC, doc)
+        return plain, (_DOC, _HASH)
+    return numbered(docs, _KEY, _HASH, "numbered").withColumn(_DOC, doc), (_DOC, _HASH, _KEY)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8, spacing: bool = False) -> DataFrame:
@@ -224,8 +224,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8, spacing:
     spark = lean(docs).sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(partitions(spark), -(-int(size) // PARTITION_BYTES))
-    row_columns, row_schema = (_DOC, _HASH, _KEY), f"{_DOC} long, {_HASH} long, {_KEY} long"
-    dealt = keyed_rows(docs).repartition(n, *row_columns)
+    keyed, row_columns = keyed_rows(docs)
+    row_schema = ", ".join(f"{c} long" for c in row_columns)
+    dealt = keyed.repartition(n, *row_columns)
 
     def prepared(batches):
         for b in steady_blocks(batches, BLOCK):
