@@ -30,6 +30,16 @@ def or_zero(c: Column) -> Column:
     return F.coalesce(dbl(c), F.lit(0.0))
 
 
+def cents(amount: Column | str) -> Column:
+    """An amount with two digits after the point as a whole number: sums of longs are exact and cheap."""
+    c = F.col(amount) if isinstance(amount, str) else amount
+    return F.when(F.abs(c) < 10**13, F.rint(dbl(c) * 100.0).cast("long")).otherwise((c * 100).cast("long"))
+
+
+def money(c: Column) -> Column:
+    return dbl(c) / F.lit(100.0)
+
+
 def seconds(us: Column) -> Column:
     return dbl(us) / F.lit(1e6)
 

@@ -9,30 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import DAY, dbl
 from ..plans.frames import ID, US
+from .ordered import running
 
 
 def local_percentile(df: DataFrame, value: str, name: str, days: int = 14) -> DataFrame:
     """Share of the values of the previous `days` observed days that are strictly below this one.
 
     Days are counted as they occur, not by the calendar; the first day and null
-    values give null. Each value is a reference for its next `days` observed days;
-    a day's rows and references are one window partition, so what is sorted
-    together is bounded by a day's traffic times days, whatever the history.
+    values give null. Each distinct value of a day is one weighted reference for the
+    next `days` observed days. A day's values are cut into ranges, so neither a day
+    nor a value that many rows have is one task's work.
     """
-    # rows without a value can neither have a percentile nor be a reference
     day = F.floor(F.col(US) / F.lit(DAY))
     observed = df.select(day.alias("_day")).distinct()
     numbered = observed.withColumn("_d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_day")))  # one row a day
-    held = df.withColumn("_day", day).join(numbered, "_day").drop("_day")
-    rows = held.where(F.col(value).isNotNull()).select(F.col(ID).alias("_id"), dbl(value).alias("_v"), "_d")
-    # equal values of a day become one weighted reference before they are copied to later days
-    refs = rows.groupBy("_d", "_v").agg(F.count(F.lit(1)).alias("_w"))
-    refs = refs.withColumn("_d", F.explode(F.sequence(F.col("_d") + 1, F.col("_d") + days)))
-    both = rows.select("_d", "_v", "_id", F.lit(0).cast("long").alias("_w")).unionByName(refs.select("_d", "_v", F.lit(None).cast(df.schema[ID].dataType).alias("_id"), "_w"))
-    w = Window.partitionBy("_d").orderBy("_v")
-    below = F.coalesce(F.sum("_w").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("_w").over(w.rangeBetween(0, 0)), F.lit(0))
-    total = F.sum("_w").over(Window.partitionBy("_d"))
-    shares = both.select("_id", (dbl(below) / F.nullif(dbl(total), F.lit(0.0))).alias(name)).where("_id is not null")
+    held = df.withColumn("_day", day).join(numbered, "_day").select(F.col(ID).alias("_id"), dbl(value).alias("_v"), "_d")
+    # rows without a value can neither have a percentile nor be a reference
+    values = held.where("_v is not null").groupBy("_d", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    refs = values.withColumn("_d", F.explode(F.sequence(F.col("_d") + 1, F.col("_d") + days)))
+    points = refs.unionByName(values.withColumn("_w", F.lit(0).cast("long"))).groupBy("_d", "_v").agg(F.sum("_w").alias("_w"))
+    total = refs.groupBy("_d").agg(F.sum("_w").alias("_all"))
+    below = running(points, ["_d"], ["_v"], {"_below": "_w"}).join(total, "_d")
+    shares = held.join(below, ["_d", "_v"]).select("_id", (dbl("_below") / F.nullif(dbl("_all"), F.lit(0.0))).alias(name))
     return df.join(shares, F.col(ID) == F.col("_id"), "left").drop("_id")
 
 
@@ -77,17 +75,13 @@ def stability_index(early: DataFrame, late: DataFrame, columns: Sequence[str], b
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Average-tie percent rank over the table: (rows below + (ties + 1) / 2) / rows, from counts of distinct values.
 
-    Distinct values are counted first and summed up in two levels (ranges of
-    values, then inside), so the table is never one sorted partition.
+    Distinct values are counted first and summed up in ranges, so the table is never
+    one sorted partition.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(dbl(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
-    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_m"), F.min("_v").alias("_first"))
-    whole = Window.partitionBy(F.lit(0)).orderBy("_first")  # one row a partition
-    before = parts.select("_part", F.coalesce(F.sum("_m").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    ranks = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(before, "_part")
-    share = (dbl(F.col("_before") + F.col("_inside")) + (dbl("_n") + 1) / 2) / dbl("_all")
+    whole = counts.agg(F.sum("_n").alias("_all"))
+    ranks = running(counts, [], ["_v"], {"_before": "_n"}).join(F.broadcast(whole), F.lit(True))  # one row
+    share = (dbl("_before") + (dbl("_n") + 1) / 2) / dbl("_all")
     return df.join(ranks.select("_v", share.alias(name)), dbl(value) == F.col("_v"), "left").drop("_v")
 
 

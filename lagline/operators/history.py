@@ -10,27 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DAY, dbl, or_zero, over_count, over_eps, seconds, text_or
+from ..functions.scalar import DAY, cents, dbl, money, or_zero, over_count, over_eps, seconds, text_or
 from ..plans.frames import ID, US, ordered, prior, rank_before
 from ..plans.spec import Direction, Feature, plan
+from .ordered import prior_by_keys
 
-SQUARE = "decimal(38,4)"
+
+def whole(amount: str = "amount") -> Feature:
+    """The amount in hundredths, for exact sums."""
+    return Feature("_cents", cents(amount), Direction.ROW, stage=-1)
+
+
+def exact_double(c: Column) -> Column:
+    """A sum of squares of hundredths (a whole decimal) as a double, in the amount's units squared."""
+    return dbl(c) / F.lit(10_000.0)
 
 
 def expanding(entity: str, p: str, amount: str = "amount") -> list[Feature]:
     """History count, sum, mean, population std, z-score and ratio to the mean of the amounts before this one."""
     past = prior(entity)
     n = rank_before(entity)
-    total, square = F.sum(amount).over(past), F.sum((F.col(amount) * F.col(amount)).cast(SQUARE)).over(past)
+    wide = F.col("_cents").cast("decimal(19,0)")
+    total, square = F.sum("_cents").over(past), F.sum((wide * wide).cast("decimal(38,0)")).over(past)
     name = lambda s: F.col(f"{p}_{s}")
     mean, std = name("amt_mean_prior"), name("amt_std_prior")
     variance = over_count(F.col(f"_{p}_square"), name("history_count")) - mean * mean
     return [
+        whole(amount),
         Feature(f"{p}_history_count", n.cast("long")),
-        Feature(f"{p}_amt_sum_prior", or_zero(total)),
-        Feature(f"_{p}_square", dbl(square)),
+        Feature(f"{p}_amt_sum_prior", money(F.coalesce(total, F.lit(0)))),
+        Feature(f"_{p}_square", exact_double(square)),
         Feature(f"{p}_amt_mean_prior", over_count(name("amt_sum_prior"), name("history_count")), stage=1),
-        Feature(f"{p}_amt_std_prior", F.sqrt(F.greatest(variance, F.lit(0.0))), stage=2),
+        Feature(f"{p}_amt_std_prior", F.when(n > 0, F.sqrt(F.greatest(variance, F.lit(0.0)))), stage=2),
         Feature(f"{p}_amt_zscore", (dbl(amount) - mean) / (std + F.lit(1e-6)), stage=3),
         Feature(f"{p}_amt_ratio", over_eps(amount, mean), stage=3),
     ]
@@ -51,17 +62,19 @@ def robust(entity: str, p: str, amount: str = "amount") -> list[Feature]:
 
 
 def log_zscore(entity: str, p: str, amount: str = "amount") -> list[Feature]:
-    """Z-score on log1p(amount); logs are rounded to 9 places so that their sums don't depend on order."""
-    past, log = prior(entity), F.round(F.log1p(dbl(amount)), 9).cast("decimal(18,9)")
-    n = rank_before(entity)
-    mean = over_count(F.col(f"_{p}_log_sum"), F.col(f"_{p}_log_n"))
-    variance = over_count(F.col(f"_{p}_log_square"), F.col(f"_{p}_log_n")) - mean * mean
+    """Z-score on log1p(amount); logs are whole numbers of 1e-8, so that their sums are exact and don't depend on order."""
+    past, n = prior(entity), F.col(f"_{p}_log_n")
+    square = F.col("_log") * F.col("_log")  # below 2 ** 63 for amounts below 1e13; summed in two parts, as the sum is not
+    high, low = F.shiftright(square, 30), square.bitwiseAND((1 << 30) - 1)
+    mean = over_count(F.col(f"_{p}_log_sum") / F.lit(1e8), n)
+    variance = over_count((dbl(f"_{p}_log_high") * float(1 << 30) + dbl(f"_{p}_log_low")) / F.lit(1e16), n) - mean * mean
     return [
-        Feature(f"_{p}_log", log, Direction.ROW),
-        Feature(f"_{p}_log_n", n),
-        Feature(f"_{p}_log_sum", F.sum(f"_{p}_log").over(past), stage=1),
-        Feature(f"_{p}_log_square", F.sum((F.col(f"_{p}_log") * F.col(f"_{p}_log")).cast("decimal(38,18)")).over(past), stage=1),
-        Feature(f"{p}_log_amt_zscore", (dbl(f"_{p}_log") - mean) / (F.sqrt(F.greatest(variance, F.lit(0.0))) + F.lit(1e-6)), stage=2),
+        Feature("_log", F.rint(F.log1p(dbl(amount)) * 1e8).cast("long"), Direction.ROW, stage=-1),
+        Feature(f"_{p}_log_n", rank_before(entity)),
+        Feature(f"_{p}_log_sum", dbl(F.sum("_log").over(past))),
+        Feature(f"_{p}_log_high", F.sum(high).over(past)),
+        Feature(f"_{p}_log_low", F.sum(low).over(past)),
+        Feature(f"{p}_log_amt_zscore", (dbl("_log") / F.lit(1e8) - mean) / (F.sqrt(F.greatest(variance, F.lit(0.0))) + F.lit(1e-6)), stage=1),
     ]
 
 
@@ -75,28 +88,29 @@ def gaps(entity: str, p: str) -> list[Feature]:
 
 def self_relative(entity: str, p: str, amount: str = "amount", rates: tuple[int, ...] = (1, 24)) -> list[Feature]:
     """Against the entity's own norm: gap acceleration, velocity ratios, prior maximum, records. Needs history_count, seconds_since_last and cnt_{h}h."""
-    top, n = F.max(amount).over(prior(entity)), dbl(f"{p}_history_count")
+    top, n = F.max("_cents").over(prior(entity)), dbl(f"{p}_history_count")
     age = seconds(F.col(US) - F.min(US).over(prior(entity)))
     held = F.col(f"_{p}_age")
     usual = n / F.greatest(held, F.lit(1.0))
     return [
+        whole(amount),
         Feature(f"_{p}_age", F.coalesce(age, F.lit(0.0))),
-        Feature(f"_{p}_top", dbl(top)),
-        Feature(f"{p}_gap_accel", (held / F.greatest(n, F.lit(1.0))) / (F.col(f"{p}_seconds_since_last") + 1), stage=1),
-        *(Feature(f"{p}_velocity_ratio_{h}h", dbl(f"{p}_cnt_{h}h") / (usual * F.lit(h * 3600.0) + F.lit(1e-6)), stage=1) for h in rates),
-        Feature(f"{p}_amt_vs_prior_max", over_eps(amount, F.col(f"_{p}_top")), stage=1),
-        Feature(f"{p}_is_record_amt", F.when(F.col(f"_{p}_top").isNotNull(), (dbl(amount) > F.col(f"_{p}_top")).cast("double")), stage=1),
+        Feature(f"_{p}_top", money(top)),
+        Feature(f"{p}_gap_accel", (held / F.greatest(n, F.lit(1.0))) / (F.col(f"{p}_seconds_since_last") + 1), stage=2),
+        *(Feature(f"{p}_velocity_ratio_{h}h", dbl(f"{p}_cnt_{h}h") / (usual * F.lit(h * 3600.0) + F.lit(1e-6)), stage=2) for h in rates),
+        Feature(f"{p}_amt_vs_prior_max", over_eps(amount, F.col(f"_{p}_top")), stage=2),
+        Feature(f"{p}_is_record_amt", F.when(F.col(f"_{p}_top").isNotNull(), (dbl(amount) > F.col(f"_{p}_top")).cast("double")), stage=2),
     ]
 
 
 def hour_profile(entity: str, p: str) -> list[Feature]:
     """Share of prior rows in the same four-hour bucket, and whether the bucket is new."""
-    bucket = f"_{p}_bucket"
-    seen = rank_before(entity, bucket)
+    bucket, seen = f"_{p}_bucket", F.col(f"_{p}_seen")
     return [
         Feature(bucket, F.floor(F.hour(F.timestamp_micros(US)) / 4), Direction.ROW),
-        Feature(f"{p}_hour_bucket_share", dbl(seen) / F.greatest(dbl(rank_before(entity)), F.lit(1.0)), stage=1),
-        Feature(f"{p}_new_hour_bucket", (seen == 0).cast("int"), stage=1),
+        Feature(f"_{p}_seen", rank_before(entity, bucket), stage=1),
+        Feature(f"{p}_hour_bucket_share", dbl(seen) / F.greatest(dbl(rank_before(entity)), F.lit(1.0)), stage=2),
+        Feature(f"{p}_new_hour_bucket", (seen == 0).cast("int"), stage=2),
     ]
 
 
@@ -143,12 +157,10 @@ def running_rank(df: DataFrame, keys: list[str], name: str, bucket: int = DAY) -
     return ranked.withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
-def frequency_share(df: DataFrame, column: str) -> DataFrame:
-    """Share of all earlier rows that have this row's category."""
-    key = f"_{column}_key"
-    held = running_rank(df.withColumn(key, text_or(column, "__missing__")), [key], "_same")
-    held = running_rank(held, [], "_all")
-    return held.withColumn(f"{column}_freq_share_prior", dbl("_same") / F.greatest(dbl("_all"), F.lit(1.0))).drop(key, "_same", "_all")
+def frequency_share(df: DataFrame, column: str, bucket: int = 30 * DAY) -> DataFrame:
+    """Share of all earlier rows that have this row's category; a bucket of time is one task's work."""
+    held = prior_by_keys(df.withColumn("_cents", F.lit(0).cast("long")), {"_same": (column, "__missing__")}, bucket, "_all")
+    return held.select(*df.columns, (dbl("_same_n") / F.greatest(dbl("_all_n"), F.lit(1.0))).alias(f"{column}_freq_share_prior"))
 
 
 def expanding_sums_in_buckets(df: DataFrame, entity: str, p: str, amount: str = "amount", bucket: int = 7 * DAY) -> DataFrame:

@@ -3,48 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dbl
 from ..plans.frames import ID
+from .ordered import running
+
+
+def _steps(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row a distinct score: _s, _n rows, _p positives. Rows without a label or score count nowhere."""
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    return known.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Step-wise average precision, ties of a score taken together; null without positives. One row a group of `by`."""
-    steps = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    down = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = down.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select(*by, "_n", "_p", F.sum("_p").over(run).alias("_tp"), F.sum("_n").over(run).alias("_seen"), F.sum("_p").over(down).alias("_all"))
-    # rounded terms, summed as decimals: the same whatever the order
-    term = F.round(dbl("_p") / F.nullif(dbl("_all"), F.lit(0.0)) * dbl("_tp") / dbl("_seen"), 12).cast("decimal(30,12)")
+    """Step-wise average precision, ties of a score taken together; null without positives. One row a group of `by`. Reads df more than once."""
+    steps = _steps(df, score, label, by)
+    curve = running(steps, by, ["_s"], {"_tp": "_p", "_seen": "_n"}, descending=True)
+    # sums of p / seen * tp as decimals of rounded terms: the same whatever the order
+    tp, seen = F.col("_tp") + F.col("_p"), F.col("_seen") + F.col("_n")
+    whole = steps.groupBy(*by).agg(F.sum("_p").alias("_all"))
+    if by:
+        whole = whole.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(by)], "_all")
+        curve = curve.join(whole, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(by)]))
+    else:
+        curve = curve.join(F.broadcast(whole), F.lit(True))  # one row
+    term = F.round(dbl("_p") / F.nullif(dbl("_all"), F.lit(0.0)) * dbl(tp) / dbl(seen), 12).cast("decimal(30,12)")
     return curve.groupBy(*by).agg(dbl(F.sum(term)).alias("ap"), F.sum("_n").alias("n"), F.sum("_p").alias("positives"))
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve, ties counted half."""
-    steps = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("_n") - F.col("_p")).over(w), F.lit(0))
-    pairs = steps.select("_n", "_p", (F.col("_p") * (2 * below + F.col("_n") - F.col("_p"))).cast("decimal(38,0)").alias("_twice"))
-    out = pairs.agg(F.sum("_twice").alias("t"), F.sum("_p").alias("p"), F.sum(F.col("_n") - F.col("_p")).alias("m"))
+    steps = _steps(df, score, label).withColumn("_m", F.col("_n") - F.col("_p"))
+    held = running(steps, [], ["_s"], {"_below": "_m"})
+    pairs = held.select("_p", "_m", (F.col("_p").cast("decimal(19,0)") * (2 * F.col("_below") + F.col("_m")).cast("decimal(19,0)")).cast("decimal(38,0)").alias("_twice"))
+    out = pairs.agg(F.sum("_twice").alias("t"), F.sum("_p").alias("p"), F.sum("_m").alias("m"))
     return out.select((dbl("t") / F.nullif(2.0 * dbl("p") * dbl("m"), F.lit(0.0))).alias("auc"), F.col("p").alias("positives"), F.col("m").alias("negatives"))
 
 
 def at_fractions(df: DataFrame, fractions: Sequence[float], score: str = "score", label: str = "label") -> DataFrame:
-    """Precision and recall among the k = max(1, round-half-even(n * f)) best rows; ties by id."""
-    known = df.where(F.col(label).isNotNull())
-    n, positives = known.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
+    """Precision and recall among the k = max(1, round-half-even(n * f)) best rows; ties by id.
+
+    The best rows are not gathered: the score at which each cut falls comes from running counts of distinct scores, and
+    only the rows of that score are ordered by id, in ranges.
+    """
+    steps = _steps(df, score, label)
+    n, positives = steps.agg(F.sum("_n"), F.sum("_p")).first()
+    ks = {f: max(1, round((n or 0) * f)) for f in fractions}
+    curve = running(steps, [], ["_s"], {"_tp": "_p", "_seen": "_n"}, descending=True)
+    cut = lambda k: (F.col("_seen") < k) & (F.col("_seen") + F.col("_n") >= k)
+    found = curve.where(reduce(Column.__or__, [cut(k) for k in ks.values()])).collect()  # a row a fraction at most
     rows = []
-    for f in fractions:
-        k = max(1, round(n * f))
-        best = known.orderBy(F.desc(score), ID).limit(k).agg(F.sum(F.col(label).cast("long")).alias("hits"))
-        rows.append(best.select(F.lit(f).alias("fraction"), F.lit(k).cast("long").alias("k"), "hits", (dbl("hits") / F.lit(float(k))).alias("precision"), (dbl("hits") / F.lit(float(positives) if positives else None).cast("double")).alias("recall")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    for f, k in ks.items():
+        at = next((r for r in found if r["_seen"] < k <= r["_seen"] + r["_n"]), None)
+        if at is None:  # fewer rows than k
+            hits = positives or 0
+        elif at["_p"] in (0, at["_n"]) or k == at["_seen"] + at["_n"]:
+            hits = at["_tp"] + min(at["_p"], k - at["_seen"])
+        else:
+            tied = df.where((F.col(score) == F.lit(at["_s"])) & F.col(label).isNotNull()).select(ID, F.col(label).cast("long").alias("_y"), F.lit(1).cast("long").alias("_one"))
+            first = running(tied, [], [ID], {"_before": "_one"}).where(F.col("_before") < k - at["_seen"])
+            hits = at["_tp"] + first.agg(F.coalesce(F.sum("_y"), F.lit(0))).first()[0]
+        rows.append((f, k, hits, hits / k, hits / positives if positives else None))
+    return df.sparkSession.createDataFrame(rows, "fraction double, k long, hits long, precision double, recall double")
 
 
 def split_precision(df: DataFrame, flag: Column, score: str = "score", label: str = "label") -> DataFrame:

@@ -7,26 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DAY, HOUR, MINUTE, dbl, or_zero, over_eps, seconds, text_or
-from ..plans.frames import US, around, backward_sum, forward_sum, ordered, prior, trailing
-from ..plans.spec import Direction, Feature
+from ..functions.scalar import DAY, HOUR, MINUTE, dbl, money, over_eps, seconds, text_or
+from ..plans.frames import US, backward_sum, forward_sum, ordered, prior, total, trailing
+from ..plans.spec import Direction, Feature, plan
+from .history import whole
+from .ordered import prior_by_keys
 
 
 def span_name(us: int) -> str:
-    return f"{us // DAY}d" if us % DAY == 0 and us > 7 * DAY - 1 else f"{us // HOUR}h" if us % HOUR == 0 else f"{us // MINUTE}m"
+    return f"{us // DAY}d" if us % DAY == 0 and us > 7 * DAY else f"{us // HOUR}h" if us % HOUR == 0 else f"{us // MINUTE}m"
 
 
 def count() -> Column:
     return F.count(F.lit(1))
 
 
+def amounts() -> Column:
+    return F.sum("_cents")
+
+
 def trailing_ladder(entity: str, p: str, widths: list[int], amount: str = "amount") -> list[Feature]:
     """Counts and sums over [t - w, t) for each width (empty: 0), amount per sum, and the burst of the first against the last width."""
     names = [span_name(w) for w in widths]
-    out = []
+    out = [whole(amount)]
     for w, s in zip(widths, names, strict=True):
-        frame = trailing(entity, w)
-        out += [Feature(f"{p}_cnt_{s}", F.coalesce(count().over(frame), F.lit(0)).cast("long")), Feature(f"{p}_amtsum_{s}", or_zero(F.sum(amount).over(frame)))]
+        out += [Feature(f"{p}_cnt_{s}", total(count, entity, -w, -1).cast("long")), Feature(f"{p}_amtsum_{s}", money(total(amounts, entity, -w, -1)))]
         out += [Feature(f"{p}_amt_share_{s}", over_eps(amount, F.col(f"{p}_amtsum_{s}")), stage=1)]
     burst = lambda m: (dbl(f"{p}_{m}_{names[0]}") + 1) / (dbl(f"{p}_{m}_{names[-1]}") + 1)
     return [*out, Feature(f"{p}_burst_cnt_ratio", burst("cnt"), stage=1), Feature(f"{p}_burst_amt_ratio", burst("amtsum"), stage=1)]
@@ -34,15 +39,16 @@ def trailing_ladder(entity: str, p: str, widths: list[int], amount: str = "amoun
 
 def recent(entity: str, p: str, widths: list[int], amount: str = "amount") -> list[Feature]:
     """Short windows: count and sum (empty: 0), amount against the window's mean and maximum (empty: null)."""
-    out = []
+    out = [whole(amount)]
     for w in widths:
-        s, frame = span_name(w), trailing(entity, w)
-        n, total = count().over(frame), F.sum(amount).over(frame)
+        s = span_name(w)
+        n, held = F.col(f"{p}_cnt_{s}"), F.col(f"{p}_amtsum_{s}")
         out += [
-            Feature(f"{p}_cnt_{s}", F.coalesce(n, F.lit(0)).cast("long")),
-            Feature(f"{p}_amtsum_{s}", or_zero(total)),
-            Feature(f"{p}_amt_vs_recent_mean_{s}", over_eps(amount, dbl(total) / dbl(F.nullif(n, F.lit(0))))),
-            Feature(f"{p}_amt_vs_recent_max_{s}", over_eps(amount, F.max(amount).over(frame))),
+            Feature(f"{p}_cnt_{s}", total(count, entity, -w, -1).cast("long")),
+            Feature(f"{p}_amtsum_{s}", money(total(amounts, entity, -w, -1))),
+            Feature(f"_{p}_top_{s}", money(F.max("_cents").over(trailing(entity, w)))),
+            Feature(f"{p}_amt_vs_recent_mean_{s}", over_eps(amount, held / dbl(F.nullif(n, F.lit(0)))), stage=1),
+            Feature(f"{p}_amt_vs_recent_max_{s}", over_eps(amount, F.col(f"_{p}_top_{s}")), stage=1),
         ]
     return out
 
@@ -53,27 +59,47 @@ def freshness(entity: str, other: str, p: str, widths: list[int]) -> list[Featur
     gap = F.col(US) - F.lag(US).over(ordered(entity, key))
     out = [Feature(key, text_or(other, "nan"), Direction.ROW), Feature(f"{key}_gap", gap, stage=1)]
     for w in widths:
-        s, frame = span_name(w), trailing(entity, w)
+        s = span_name(w)
         fresh = F.when(F.col(f"{key}_gap").isNull() | (F.col(f"{key}_gap") > w), 1).otherwise(0)
-        total = F.sum(fresh).over(frame)
+        n, met = F.col(f"_{p}_rows_{s}"), f"{p}_fresh_{other}_{s}"
         out += [
-            Feature(f"{p}_fresh_{other}_{s}", F.coalesce(total, F.lit(0)).cast("long"), stage=2),
-            Feature(f"{p}_fresh_{other}_share_{s}", dbl(total) / (dbl(count().over(frame)) + 1), stage=2),
+            Feature(met, total(lambda x=fresh: F.sum(x), entity, -w, -1).cast("long"), stage=2),
+            Feature(f"_{p}_rows_{s}", total(count, entity, -w, -1), stage=2),
+            Feature(f"{p}_fresh_{other}_share_{s}", F.when(n > 0, dbl(met) / (dbl(n) + 1)), stage=3),
         ]
     return out
 
 
+def place_windows(place: str, amount: str = "amount") -> list[Feature]:
+    """Place activity of the last hour and day."""
+    at = "_place"
+    out = [whole(amount), Feature(at, text_or(place, "__unknown__"), Direction.ROW)]
+    for h in (1, 24):
+        out += [Feature(f"loc_cnt_{h}h", total(count, at, -h * HOUR, -1).cast("long"), stage=1), Feature(f"loc_amtsum_{h}h", money(total(amounts, at, -h * HOUR, -1)), stage=1)]
+    return out
+
+
 def context(place: str, category: str, amount: str = "amount") -> list[Feature]:
     """Place activity of the last hour and day, and amounts against the prior means of category and place."""
-    at, kind = "_place", "_category"
-    mean = lambda k: dbl(F.sum(amount).over(prior(k))) / dbl(F.nullif(F.count(F.lit(1)).over(prior(k)), F.lit(0)))
-    out = [Feature(at, text_or(place, "__unknown__"), Direction.ROW), Feature(kind, text_or(category, "__unknown__"), Direction.ROW)]
-    for h in (1, 24):
-        frame = trailing(at, h * HOUR)
-        out += [Feature(f"loc_cnt_{h}h", F.coalesce(count().over(frame), F.lit(0)).cast("long"), stage=1), Feature(f"loc_amtsum_{h}h", or_zero(F.sum(amount).over(frame)), stage=1)]
+    kind, at = "_category", "_place"
+    mean = lambda k: money(F.sum("_cents").over(prior(k))) / dbl(F.nullif(F.count(F.lit(1)).over(prior(k)), F.lit(0)))
+    out = [*place_windows(place, amount), Feature(kind, text_or(category, "__unknown__"), Direction.ROW)]
     return [*out, Feature("amt_vs_cat_mean_prior", over_eps(amount, mean(kind)), stage=2), Feature("loc_amt_ratio", over_eps(amount, mean(at)), stage=3)]
 
 
+def context_by_buckets(df: DataFrame, place: str, category: str, bucket: int, amount: str = "amount") -> DataFrame:
+    """What context() gives, for places and categories that hold many rows each: windows inside buckets of time, and what earlier buckets add up to."""
+    keys = {"_loc": (place, "__unknown__"), "_cat": (category, "__unknown__")}
+    held = prior_by_keys(plan(df, [whole(amount)]), keys, bucket)
+    mean = lambda k: money(F.col(f"{k}_s")) / dbl(F.nullif(F.col(f"{k}_n"), F.lit(0)))
+    held = held.select("*", over_eps(amount, mean("_cat")).alias("amt_vs_cat_mean_prior"), over_eps(amount, mean("_loc")).alias("loc_amt_ratio"), text_or(place, "__unknown__").alias("_place"))
+    widths = {1: HOUR, 24: DAY}
+    near = {f"_{m}_{n}": (count if m == "c" else amounts, w) for n, w in widths.items() for m in "cs"}
+    held = trailing_with_halo(held, "_place", DAY, near)
+    out = [c.alias(k) for n in widths for k, c in ((f"loc_cnt_{n}h", F.coalesce(f"_c_{n}", F.lit(0)).cast("long")), (f"loc_amtsum_{n}h", money(F.coalesce(f"_s_{n}", F.lit(0)))))]
+    return held.select(*df.columns, *out, "amt_vs_cat_mean_prior", "loc_amt_ratio")
+
+
 def intensity(p: str, amount: str = "amount") -> list[Feature]:
     """From cnt and amtsum of 1 h and 24 h: amount against the day's mean, acceleration, many small amounts."""
     c1, c24, s1, s24 = (dbl(f"{p}_{m}") for m in ("cnt_1h", "cnt_24h", "amtsum_1h", "amtsum_24h"))
@@ -90,14 +116,14 @@ def cross(a: str, b: str, name: str) -> list[Feature]:
 
 def backward(entity: str, p: str, widths: list[int], amount: str = "amount", rates: list[tuple[int, int]] = ()) -> list[Feature]:
     """Windows [t - w, t) with the earlier rows of the same time: count, sum, amount against their mean, and ratios of rates."""
-    out = []
+    out = [whole(amount)]
     for w in widths:
         s = span_name(w)
-        cnt, total = F.col(f"{p}_bwd_cnt_{s}"), F.col(f"{p}_bwd_amtsum_{s}")
+        cnt, held = F.col(f"{p}_bwd_cnt_{s}"), F.col(f"{p}_bwd_amtsum_{s}")
         out += [
             Feature(f"{p}_bwd_cnt_{s}", backward_sum(count, entity, w).cast("long")),
-            Feature(f"{p}_bwd_amtsum_{s}", dbl(backward_sum(lambda: F.sum(amount), entity, w))),
-            Feature(f"{p}_amt_vs_bwd_{s}", over_eps(amount, total / F.greatest(dbl(cnt), F.lit(1.0))), stage=1),
+            Feature(f"{p}_bwd_amtsum_{s}", money(backward_sum(amounts, entity, w))),
+            Feature(f"{p}_amt_vs_bwd_{s}", over_eps(amount, held / F.greatest(dbl(cnt), F.lit(1.0))), stage=1),
         ]
     for short, long in rates:
         rate = lambda w: dbl(f"{p}_bwd_cnt_{span_name(w)}") / F.lit(w / MINUTE) + F.lit(1e-9)
@@ -107,16 +133,15 @@ def backward(entity: str, p: str, widths: list[int], amount: str = "amount", rat
 
 def ahead(entity: str, p: str, widths: list[int], amount: str = "amount") -> list[Feature]:
     """Forward and symmetric windows and what compares them with the past. Reads the future: plan(..., allow_future=True)."""
-    out, o = [], ordered(entity)
+    out, o = [whole(amount)], ordered(entity)
     for w in widths:
         s = span_name(w)
         f = lambda n: dbl(f"{p}_{n}_{s}")
-        both = around(entity, w)
         out += [
             Feature(f"{p}_fwd_cnt_{s}", forward_sum(count, entity, w).cast("long"), Direction.FORWARD),
-            Feature(f"{p}_fwd_amtsum_{s}", dbl(forward_sum(lambda: F.sum(amount), entity, w)), Direction.FORWARD),
-            Feature(f"{p}_sym_cnt_{s}", (count().over(both) - 1).cast("long"), Direction.SYMMETRIC),
-            Feature(f"{p}_sym_amtsum_{s}", dbl(F.sum(amount).over(both) - F.col(amount)), Direction.SYMMETRIC),
+            Feature(f"{p}_fwd_amtsum_{s}", money(forward_sum(amounts, entity, w)), Direction.FORWARD),
+            Feature(f"{p}_sym_cnt_{s}", (total(count, entity, -w, w) - 1).cast("long"), Direction.SYMMETRIC),
+            Feature(f"{p}_sym_amtsum_{s}", money(total(amounts, entity, -w, w) - F.col("_cents")), Direction.SYMMETRIC),
             Feature(f"_{p}_bwd_{s}", backward_sum(count, entity, w)),
             Feature(f"{p}_accel_{s}", (f("fwd_cnt") + 1) / (dbl(f"_{p}_bwd_{s}") + 1), Direction.FORWARD, 1),
             Feature(f"{p}_amt_vs_sym_{s}", over_eps(amount, f("sym_amtsum") / F.greatest(f("sym_cnt"), F.lit(1.0))), Direction.SYMMETRIC, 1),
@@ -131,17 +156,18 @@ def ahead(entity: str, p: str, widths: list[int], amount: str = "amount") -> lis
     ]
 
 
-def trailing_with_halo(df: DataFrame, entity: str, width: int, aggregates: dict[str, Callable[[], Column]]) -> DataFrame:
-    """Aggregates over [t - w, t) for entities too large for one window partition.
+def trailing_with_halo(df: DataFrame, entity: str, width: int, aggregates: dict[str, Callable[[], Column] | tuple[Callable[[], Column], int]]) -> DataFrame:
+    """Aggregates over [t - w, t) for entities too large for one window partition; an aggregate can bring a shorter w of its own.
 
     Time is cut into buckets of w; each row also visits the next bucket, where it
     is seen but gets no result. A window partition then holds two buckets of an
     entity, and every range is whole inside it.
     """
+    frame = lambda w: Window.partitionBy(entity, "_bucket").orderBy(US).rangeBetween(-w, -1)
+    over = {n: f[0]().over(frame(f[1])) if isinstance(f, tuple) else f().over(frame(width)) for n, f in aggregates.items()}
     b = F.floor(F.col(US) / F.lit(width))
     seen = df.withColumn("_visit", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", b + F.col("_visit"))
-    frame = Window.partitionBy(entity, "_bucket").orderBy(US).rangeBetween(-width, -1)
-    done = seen.select("*", *(f().over(frame).alias(n) for n, f in aggregates.items())).where("_visit = 0")
+    done = seen.select("*", *(c.alias(n) for n, c in over.items())).where("_visit = 0")
     return done.select(*df.columns, *aggregates)
 
 

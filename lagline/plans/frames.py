@@ -33,10 +33,6 @@ def trailing(entity: str, width: int) -> WindowSpec:
     return Window.partitionBy(entity).orderBy(US).rangeBetween(-width, -1)
 
 
-def following(entity: str, width: int) -> WindowSpec:
-    return Window.partitionBy(entity).orderBy(US).rangeBetween(1, width)
-
-
 def around(entity: str, half: int) -> WindowSpec:
     return Window.partitionBy(entity).orderBy(US).rangeBetween(-half, half)
 
@@ -54,11 +50,24 @@ def rank_before(*entity: str) -> Column:
     return F.row_number().over(ordered(*entity)) - 1
 
 
+def up_to(entity: str, us: int) -> WindowSpec:
+    """All times up to t + us."""
+    return Window.partitionBy(entity).orderBy(US).rangeBetween(Window.unboundedPreceding, us)
+
+
+def total(f: Callable[[], Column], entity: str, low: int, high: int) -> Column:
+    """f, a count or a sum of whole numbers, over times in [t + low, t + high]; 0 where there are none.
+
+    It is the difference of two running values, so what a row costs does not grow with the window or the entity.
+    """
+    return F.coalesce(f().over(up_to(entity, high)), F.lit(0)) - F.coalesce(f().over(up_to(entity, low - 1)), F.lit(0))
+
+
 def backward_sum(f: Callable[[], Column], entity: str, width: int) -> Column:
-    """f (count or sum) over [t - w, t) plus earlier rows at t."""
-    return F.coalesce(f().over(trailing(entity, width)), F.lit(0)) + F.coalesce(f().over(tied_before(entity)), F.lit(0))
+    """f (a count or a sum of whole numbers) over [t - w, t) plus earlier rows at t."""
+    return total(f, entity, -width, -1) + F.coalesce(f().over(tied_before(entity)), F.lit(0))
 
 
 def forward_sum(f: Callable[[], Column], entity: str, width: int) -> Column:
-    """f (count or sum) over (t, t + w] plus later rows at t."""
-    return F.coalesce(f().over(following(entity, width)), F.lit(0)) + F.coalesce(f().over(tied_after(entity)), F.lit(0))
+    """f (a count or a sum of whole numbers) over (t, t + w] plus later rows at t."""
+    return total(f, entity, 1, width) + F.coalesce(f().over(tied_after(entity)), F.lit(0))

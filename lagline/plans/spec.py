@@ -7,7 +7,7 @@ the future unless it is asked for.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,11 @@ def guard(features: Iterable[Feature]) -> None:
         raise FutureFeatureError(f"features that read the future: {', '.join(ahead)}")
 
 
+def later(features: Iterable[Feature], by: int) -> list[Feature]:
+    """The same features some stages later; helpers of rows alone stay first."""
+    return [f if f.stage < 0 else replace(f, stage=f.stage + by) for f in features]
+
+
 def plan(df: DataFrame, features: Iterable[Feature], allow_future: bool = False) -> DataFrame:
     """Adds the features, one projection a stage.
 
@@ -48,6 +53,8 @@ def plan(df: DataFrame, features: Iterable[Feature], allow_future: bool = False)
     features = list(features)
     if not allow_future:
         guard(features)
+    shared = {f.name: f for f in features if f.name.startswith("_")}  # helpers that several families bring along are the same
+    features = [f for f in features if not f.name.startswith("_") or shared[f.name] is f]
     names = [f.name for f in features]
     if len(set(names)) != len(names):
         raise ValueError("feature names repeat")
