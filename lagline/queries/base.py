@@ -16,8 +16,8 @@ LINES = """fact AS (
   SELECT concat_ws('-', lpad(l_orderkey::VARCHAR, 12, '0'), lpad(l_linenumber::VARCHAR, 12, '0'), lpad(l_partkey::VARCHAR, 12, '0'), lpad(l_suppkey::VARCHAR, 12, '0'),
                    (epoch_us(l_shipdate) // 1000000)::VARCHAR, lpad(CAST(l_extendedprice AS DECIMAL(18,2))::VARCHAR, 14, '0')) AS transaction_id,
          epoch_us(l_shipdate) AS us, o_custkey AS customer_id, l_suppkey AS merchant_id, l_partkey AS device_id,
-         CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, p_type AS merchant_category, n_name AS location,
-         o_orderpriority AS payment_method, l_linestatus AS transaction_type, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, p_type AS merchant_category, o_orderstatus AS device_type, n_name AS location,
+         o_orderpriority AS payment_method, l_linestatus AS transaction_type, l_quantity::INTEGER AS account_age_days, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
        LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey)"""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import HOUR, calendar
 from ..operators import history as h
 from ..operators.ranges import cross, trailing_ladder
+from ..operators.robust import with_robust_z
 from .base import EVENTS, LINES, events_fact, lineitem_fact, register
 
 QUERIES: dict = {}
@@ -26,20 +27,19 @@ def w0(spark, d):
     return events_fact(spark, d).select("transaction_id", *[c.alias(n) for n, c in calendar().items()])
 
 
+CENTS = "c AS (SELECT *, amount::DOUBLE AS a, round(amount::DOUBLE * 100.0)::BIGINT AS cents FROM fact)"
+
+
 def expanding_sql(fact: str, e: str, p: str) -> str:
-    w = P.format(e=e)
-    return f"""WITH {fact}, a AS (SELECT transaction_id, amount::DOUBLE AS amount, count(*) OVER w AS n, coalesce((sum(amount) OVER w)::DOUBLE, 0) AS s,
-  (sum((amount * amount)::DECIMAL(38,4)) OVER w)::DOUBLE AS sq FROM fact WINDOW w AS {w}),
-b AS (SELECT *, s / nullif(n::DOUBLE, 0) AS mean FROM a), c AS (SELECT *, sqrt(greatest(sq / nullif(n::DOUBLE, 0) - mean * mean, 0.0)) AS std FROM b)
-SELECT transaction_id, n AS {p}_history_count, s AS {p}_amt_sum_prior, mean AS {p}_amt_mean_prior, round(std, 4) AS {p}_amt_std_prior,
-  CASE WHEN std > 0.01 THEN round((amount - mean) / (std + 1e-6), 4) END AS {p}_amt_zscore, round(amount / (mean + 1e-6), 6) AS {p}_amt_ratio FROM c"""
+    """Nothing is rounded: both sides add whole hundredths, so spreads and z-scores of equal amounts are compared as they are."""
+    return f"""WITH {fact}, {CENTS}, a AS (SELECT transaction_id, a, count(*) OVER w AS n, coalesce(sum(cents) OVER w, 0)::DOUBLE / 100.0 AS s, (sum(cents * cents) OVER w)::DOUBLE / 10000.0 AS sq FROM c WINDOW w AS {P.format(e=e)}),
+b AS (SELECT *, s / nullif(n::DOUBLE, 0) AS mean FROM a), d AS (SELECT *, CASE WHEN n > 0 THEN sqrt(greatest(sq / n::DOUBLE - mean * mean, 0.0)) END AS std FROM b)
+SELECT transaction_id, n AS {p}_history_count, s AS {p}_amt_sum_prior, mean AS {p}_amt_mean_prior, std AS {p}_amt_std_prior, (a - mean) / (std + 1e-6) AS {p}_amt_zscore, a / (mean + 1e-6) AS {p}_amt_ratio FROM d"""
 
 
 def expanding(fact, e, p):
     df = h.add(fact.select("transaction_id", "us", e, "amount"), h.expanding(e, p))
-    z = F.when(F.col(f"{p}_amt_std_prior") > 0.01, F.round(f"{p}_amt_zscore", 4)).alias(f"{p}_amt_zscore")
-    r = lambda c, n: F.round(f"{p}_{c}", n).alias(f"{p}_{c}")
-    return df.select("transaction_id", f"{p}_history_count", f"{p}_amt_sum_prior", f"{p}_amt_mean_prior", r("amt_std_prior", 4), z, r("amt_ratio", 6))
+    return df.select("transaction_id", *[f"{p}_{c}" for c in ("history_count", "amt_sum_prior", "amt_mean_prior", "amt_std_prior", "amt_zscore", "amt_ratio")])
 
 
 @query("w1_w8_expanding_customer", expanding_sql(EVENTS, "customer_id", "cust"))
@@ -63,23 +63,20 @@ def w23(spark, d):
     return h.expanding_sums_in_buckets(lineitem_fact(spark, d).select("transaction_id", "us", "customer_id", "amount"), "customer_id", "cust").select("transaction_id", "cust_history_count", "cust_amt_sum_prior")
 
 
-@query("w7_robust_z", f"""WITH {EVENTS}, a AS (SELECT transaction_id, us, customer_id, amount::DOUBLE AS amount FROM fact),
-m AS (SELECT *, quantile_cont(amount, 0.5) OVER {P.format(e="customer_id")} AS med FROM a), v AS (SELECT *, abs(amount - med) AS dev FROM m),
-g AS (SELECT *, quantile_cont(dev, 0.5) OVER {P.format(e="customer_id")} AS mad FROM v)
-SELECT transaction_id, round(med, 6) AS cust_amt_median_prior, round(mad, 6) AS cust_amt_mad_prior,
-  CASE WHEN mad > 0.01 THEN round((amount - med) / (mad + 1e-6), 4) END AS cust_amt_robust_z FROM g""")
+@query("w7_robust_z", f"""WITH {EVENTS}, {CENTS}, m AS (SELECT *, (2 * quantile_cont(cents, 0.5) OVER {P.format(e="customer_id")})::BIGINT AS med FROM c),
+g AS (SELECT *, (2 * quantile_cont(abs(2 * cents - med), 0.5) OVER {P.format(e="customer_id")})::BIGINT AS mad FROM m)
+SELECT transaction_id, med::DOUBLE / 200.0 AS cust_amt_median_prior, mad::DOUBLE / 400.0 AS cust_amt_mad_prior, (a - med::DOUBLE / 200.0) / (mad::DOUBLE / 400.0 + 1e-6) AS cust_amt_robust_z FROM g""")
 def w7(spark, d):
-    df = h.add(events_fact(spark, d).select("transaction_id", "us", "customer_id", "amount"), h.robust("customer_id", "cust"))
-    z = F.when(F.col("cust_amt_mad_prior") > 0.01, F.round("cust_amt_robust_z", 4))
-    return df.select("transaction_id", F.round("cust_amt_median_prior", 6).alias("cust_amt_median_prior"), F.round("cust_amt_mad_prior", 6).alias("cust_amt_mad_prior"), z.alias("cust_amt_robust_z"))
+    df = with_robust_z(events_fact(spark, d).select("transaction_id", "us", "customer_id", "amount"), "customer_id", "cust")
+    return df.select("transaction_id", "cust_amt_median_prior", "cust_amt_mad_prior", "cust_amt_robust_z")
 
 
-@query("w9_log_zscore", f"""WITH {EVENTS}, a AS (SELECT transaction_id, us, customer_id, round(ln(1 + amount::DOUBLE), 9)::DECIMAL(18,9) AS l FROM fact),
-b AS (SELECT transaction_id, l::DOUBLE AS l, count(*) OVER w AS n, (sum(l) OVER w)::DOUBLE AS s, (sum((l * l)::DECIMAL(38,18)) OVER w)::DOUBLE AS sq FROM a WINDOW w AS {P.format(e="customer_id")})
-SELECT transaction_id, CASE WHEN n >= 3 THEN round((l - s / n) / (sqrt(greatest(sq / n - (s / n) * (s / n), 0.0)) + 1e-6), 3) END AS cust_log_amt_zscore FROM b""")
+@query("w9_log_zscore", f"""WITH {EVENTS}, a AS (SELECT transaction_id, us, customer_id, round(ln(1 + amount::DOUBLE) * 1e8)::BIGINT AS l FROM fact),
+b AS (SELECT transaction_id, l, count(*) OVER w AS n, sum(l) OVER w AS s, sum((l * l) >> 30) OVER w AS hi, sum((l * l) & 1073741823) OVER w AS lo FROM a WINDOW w AS {P.format(e="customer_id")}),
+c AS (SELECT *, (s::DOUBLE / 1e8) / nullif(n::DOUBLE, 0) AS mean FROM b)
+SELECT transaction_id, (l::DOUBLE / 1e8 - mean) / (sqrt(greatest(((hi::DOUBLE * 1073741824.0 + lo::DOUBLE) / 1e16) / nullif(n::DOUBLE, 0) - mean * mean, 0.0)) + 1e-6) AS cust_log_amt_zscore FROM c""")
 def w9(spark, d):
-    df = h.add(events_fact(spark, d).select("transaction_id", "us", "customer_id", "amount"), h.expanding("customer_id", "cust"), h.log_zscore("customer_id", "cust"))
-    return df.select("transaction_id", F.when(F.col("cust_history_count") >= 3, F.round("cust_log_amt_zscore", 3)).alias("cust_log_amt_zscore"))
+    return h.add(events_fact(spark, d).select("transaction_id", "us", "customer_id", "amount"), h.log_zscore("customer_id", "cust")).select("transaction_id", "cust_log_amt_zscore")
 
 
 O = "(PARTITION BY {e} ORDER BY us, transaction_id)"
@@ -97,13 +94,11 @@ def w10(spark, d):
   count(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS c1,
   count(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS c24 FROM fact WINDOW p AS {P.format(e="customer_id")})
 SELECT transaction_id, round((age / greatest(n::DOUBLE, 1.0)) / (gap + 1), 6) AS cust_gap_accel,
-  CASE WHEN n > 0 THEN round(c1::DOUBLE / (n::DOUBLE / greatest(age, 1.0) * (1 * 3600.0) + 1e-6), 4) END AS cust_velocity_ratio_1h,
-  CASE WHEN n > 0 THEN round(c24::DOUBLE / (n::DOUBLE / greatest(age, 1.0) * (24 * 3600.0) + 1e-6), 4) END AS cust_velocity_ratio_24h,
+  c1::DOUBLE / (n::DOUBLE / greatest(age, 1.0) * (1 * 3600.0) + 1e-6) AS cust_velocity_ratio_1h, c24::DOUBLE / (n::DOUBLE / greatest(age, 1.0) * (24 * 3600.0) + 1e-6) AS cust_velocity_ratio_24h,
   round(amount / (top + 1e-6), 6) AS cust_amt_vs_prior_max, CASE WHEN top IS NOT NULL THEN (amount > top)::INTEGER::DOUBLE END AS cust_is_record_amt FROM a""")
 def w11(spark, d):
     df = h.add(events_fact(spark, d).select("transaction_id", "us", "customer_id", "amount"), h.expanding("customer_id", "cust"), h.gaps("customer_id", "cust"), trailing_ladder("customer_id", "cust", [HOUR, 24 * HOUR]), h.self_relative("customer_id", "cust"))
-    known = lambda c: F.when(F.col("cust_history_count") > 0, F.round(c, 4)).alias(c)
-    return df.select("transaction_id", F.round("cust_gap_accel", 6).alias("cust_gap_accel"), known("cust_velocity_ratio_1h"), known("cust_velocity_ratio_24h"), F.round("cust_amt_vs_prior_max", 6).alias("cust_amt_vs_prior_max"), "cust_is_record_amt")
+    return df.select("transaction_id", F.round("cust_gap_accel", 6).alias("cust_gap_accel"), "cust_velocity_ratio_1h", "cust_velocity_ratio_24h", F.round("cust_amt_vs_prior_max", 6).alias("cust_amt_vs_prior_max"), "cust_is_record_amt")
 
 
 @query("w15_w16_hour_profile", f"""WITH {EVENTS}, b AS (SELECT *, hour(make_timestamp(us)) // 4 AS bucket FROM fact),

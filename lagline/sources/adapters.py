@@ -49,7 +49,7 @@ def events_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem joined with orders: day-grain times, so ties are the rule."""
+    """lineitem joined with orders: day-grain times, so ties are the rule. device_type is the order's status, account_age_days the quantity."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     line, orders = read("lineitem"), read("orders")
     part = read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("merchant_category"))
@@ -64,9 +64,11 @@ def lineitem_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("device_id"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
         "merchant_category",
+        F.col("o_orderstatus").alias("device_type"),
         "location",
         F.col("o_orderpriority").alias("payment_method"),
         F.col("l_linestatus").alias("transaction_type"),
+        F.col("l_quantity").cast("int").alias("account_age_days"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
     )
 

@@ -16,6 +16,11 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType = CAN
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path).withColumn("us", micros("timestamp"))
 
 
+def read_side_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A CSV with header that is no transaction table (a sample submission, results of a run, a list of columns); nothing is inferred."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def first_readable(spark: SparkSession, paths: Iterable[str], schema: T.StructType = CANONICAL) -> DataFrame:
     """The first path that Spark can list; works for any store that Spark reads."""
     tried = []
