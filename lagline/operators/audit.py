@@ -38,11 +38,17 @@ def category_shift(df: DataFrame, column: str, early: Column, late: Column, labe
 
 
 def label_clustering(df: DataFrame, entity: str, label: str = "label") -> DataFrame:
-    """Chance that another row of the entity is positive given a positive one, against the base rate of such entities."""
-    g = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("k")).where("n > 1")
-    s = g.agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("both"), F.sum(F.col("k") * (F.col("n") - 1)).alias("given"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    """Pairs of rows of one entity: the chance that both are positive, that the other is given that one is, and its lift over the rate of all labelled rows."""
+    g = df.where(F.col(label).isNotNull()).groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("k"))
+    several = lambda c: F.sum(F.when(F.col("n") > 1, c))
+    s = g.agg(several(F.col("k") * (F.col("k") - 1)).alias("both"), several(F.col("n") * (F.col("n") - 1)).alias("pairs"), several(F.col("k") * (F.col("n") - 1)).alias("given"), F.sum("k").alias("k"), F.sum("n").alias("n"))
     conditional, base = ratio(F.col("both"), F.col("given")), ratio(F.col("k"), F.col("n"))
-    return s.select(F.lit(entity).alias("entity"), conditional.alias("p_given"), base.alias("p_base"), (conditional / F.nullif(base, F.lit(0.0))).alias("lift"))
+    return s.select(F.lit(entity).alias("entity"), ratio(F.col("both"), F.col("pairs")).alias("p_joint"), conditional.alias("p_given"), base.alias("p_base"), (conditional / F.nullif(base, F.lit(0.0))).alias("lift"))
+
+
+def distinct_by_group(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Rows, and distinct values of a column, of each group."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(column).alias("n_distinct"))
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,22 +1,20 @@
-"""Walk-forward windows, model pipelines and blends. No split is random."""
+"""Walk-forward windows, samples, and model columns. No split is random but the diagnostic one."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DAY
+from ..functions.scalar import DAY, dbl
 from ..plans.frames import ID, US
+from .ordered import running
 
 #: Columns that only group, order or label; never inputs of a model.
 ROLES = {ID, US, "timestamp", "customer_id", "merchant_id", "device_id", "label", "fraud", "is_test"}
+NUMBERS = ("double", "float", "int", "bigint", "decimal")
 
 
 @dataclass(frozen=True)
@@ -35,6 +33,10 @@ class Fold:
     def validate(self, df: DataFrame) -> DataFrame:
         return df.where((F.col(US) >= self.start) & (F.col(US) < self.end))
 
+    def recent(self, days: int) -> Fold:
+        """The same window, trained on the last days before it."""
+        return Fold(self.name, self.start, self.end, days)
+
 
 def walk_forward(first: int, width: int, n: int) -> list[Fold]:
     return [Fold(f"fold{k}", first + k * width, first + (k + 1) * width) for k in range(n)]
@@ -45,6 +47,15 @@ def receding(start: int, end: int, cuts: Sequence[int]) -> list[tuple[Fold, int]
     return [(Fold(f"minus{d}d", start, end), start - d * DAY) for d in cuts]
 
 
+def receding_rows(df: DataFrame, start: int, end: int, cuts: Sequence[int], label: str = "label") -> DataFrame:
+    """Training rows and positives before each cut-off, and the rows of the one validation window; one pass."""
+    y, parts = F.col(label).cast("long"), []
+    for fold, cut in receding(start, end, cuts):
+        train, valid = F.col(US) < cut, (F.col(US) >= start) & (F.col(US) < end)
+        parts.append(F.struct(F.lit(fold.name).alias("fold"), F.count_if(train).alias("train_rows"), F.coalesce(F.sum(F.when(train, y)), F.lit(0)).alias("train_pos"), F.count_if(valid).alias("valid_rows")))
+    return df.agg(F.array(*parts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+
+
 def fold_rows(df: DataFrame, folds: Sequence[Fold], label: str = "label") -> DataFrame:
     """Rows and positives on both sides of each fold, in one pass."""
     parts = []
@@ -60,38 +71,53 @@ def fold_rows(df: DataFrame, folds: Sequence[Fold], label: str = "label") -> Dat
 def feature_columns(df: DataFrame, exclude: Sequence[str] = (), without: Sequence[str] = ()) -> list[str]:
     """Columns that may enter a model: no roles, none excluded, none whose name holds one of `without`."""
     kinds = dict(df.dtypes)
-    fine = ("double", "float", "int", "bigint", "string", "decimal")
-    return [c for c in df.columns if c not in ROLES and c not in exclude and not any(w in c for w in without) and kinds[c].startswith(fine)]
+    return [c for c in df.columns if c not in ROLES and c not in exclude and not any(w in c for w in without) and kinds[c].startswith((*NUMBERS, "string"))]
 
 
-def matrix(df: DataFrame, columns: Sequence[str], scaled: bool = False) -> Pipeline:
-    """Indexes strings (unseen values are a value), fills numbers with medians and flags what was missing."""
-    kinds = dict(df.dtypes)
-    text = [c for c in columns if kinds[c] == "string"]
-    numbers = [c for c in columns if kinds[c] != "string"]
-    stages: list = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="frequencyDesc") for c in text]
-    if numbers:
-        stages.append(Imputer(strategy="median", inputCols=[f"{c}__n" for c in numbers], outputCols=[f"{c}__m" for c in numbers]))
-    raw = [*(f"{c}__i" for c in text), *(f"{c}__m" for c in numbers), *(f"{c}__gone" for c in numbers)]
-    stages.append(VectorAssembler(inputCols=raw, outputCol="raw" if scaled else "features"))
-    if scaled:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
-    return Pipeline(stages=stages)
-
-
-def prepared(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    kinds = dict(df.dtypes)
-    numbers = [c for c in columns if kinds[c] != "string"]
-    return df.select("*", *[F.col(c).cast("double").alias(f"{c}__n") for c in numbers], *[F.col(c).isNull().cast("double").alias(f"{c}__gone") for c in numbers])
+def families(columns: Sequence[str], markers: Sequence[str]) -> list[str]:
+    """The columns whose names hold one of the markers."""
+    return [c for c in columns if any(m in c for m in markers)]
+
+
+def model_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """transaction_id, label if there is one, and the columns: numbers as float, text as it is. Any other type, and any role, is refused."""
+    kinds, bad = dict(df.dtypes), []
+    out = [F.col(c) for c in (ID, "label") if c in df.columns]
+    for c in columns:
+        if c in ROLES or not kinds[c].startswith((*NUMBERS, "string")):
+            bad.append(f"{c} ({kinds[c]})")
+        out.append(F.col(c) if kinds[c] == "string" else F.col(c).cast("float").alias(c))
+    if bad:
+        raise TypeError(f"not model inputs: {', '.join(bad)}")
+    return df.select(*out)
+
+
+def hashed_order(df: DataFrame, label: str, seed: int) -> DataFrame:
+    """_place: a row's number, from 0, among rows of its label in the order of a hash of its id; _of: how many there are."""
+    held = df.withColumns({"_hash": F.xxhash64(F.lit(seed), ID), "_one": F.lit(1).cast("long")})
+    ranked = running(held, [label], ["_hash", ID], {"_place": "_one"})
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_of"))
+    return ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label"))).drop("_hash", "_one", "_label")  # a row a label
+
+
+def stratified_sample(df: DataFrame, rows: int, label: str = "label", seed: int = 7) -> DataFrame:
+    """Exactly `rows` rows (all, if there are no more), positives in their share but one at least; the same rows whatever the partitioning."""
+    n, positives = df.agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).first()
+    if n <= rows:
+        return df
+    wanted = min(positives, max(1, round(positives * rows / n)))
+    quota = F.when(F.col(label) == 1, wanted).otherwise(rows - wanted)
+    return hashed_order(df.withColumn("_y", F.coalesce((F.col(label) == 1).cast("int"), F.lit(0))), "_y", seed).where(F.col("_place") < quota).select(*df.columns)
+
 
+def stratified_split(df: DataFrame, share: float = 0.2, label: str = "label", seed: int = 7) -> DataFrame:
+    """Adds held_out: round(share * n) rows of each label, by hash. For the diagnostic of what tells two periods apart only."""
+    return hashed_order(df, label, seed).withColumn("held_out", F.col("_place") < F.round(F.col("_of") * F.lit(share)).cast("long")).select(*df.columns, "held_out")
 
-def fit_score(train: DataFrame, rows: DataFrame, columns: Sequence[str], label: str = "label", kind: str = "gbt", weight: str | None = None, seed: int = 7, rounds: int = 20) -> DataFrame:
-    """transaction_id and score of rows, from a model fitted on train (gradient-boosted trees or logistic regression)."""
-    spec = {"labelCol": "_y", "featuresCol": "features"} | ({"weightCol": weight} if weight else {})
-    model = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed, maxBins=64, **spec) if kind == "gbt" else LogisticRegression(maxIter=rounds, regParam=0.01, **spec)
-    pipeline = Pipeline(stages=[matrix(train, columns, scaled=kind != "gbt"), model])
-    fitted = pipeline.fit(prepared(train.where(F.col(label).isNotNull()), columns).withColumn("_y", F.col(label).cast("double")))
-    return fitted.transform(prepared(rows, columns)).select(ID, vector_to_array("probability")[1].alias("score"))
+
+def top_rows(df: DataFrame, by: str, k: int, tie: str = ID) -> DataFrame:
+    """The k rows with the largest values, in order; ties by the second column."""
+    return df.orderBy(F.desc_nulls_last(by), tie).limit(k)
 
 
 def blend_scores(parts: Sequence[tuple[DataFrame, float]]) -> DataFrame:
@@ -104,15 +130,44 @@ def blend_scores(parts: Sequence[tuple[DataFrame, float]]) -> DataFrame:
     return out.groupBy(ID).agg(F.sum("score").alias("score"))
 
 
-def full_and_recent(df: DataFrame, fold: Fold, columns: Sequence[str], days: int = 90, weight: float = 0.6, **model) -> DataFrame:
-    """A model on all history and a specialist on the last days before the fold, blended."""
-    recent = Fold(fold.name, fold.start, fold.end, days)
-    rows = fold.validate(df)
-    return blend_scores([(fit_score(fold.train(df), rows, columns, **model), weight), (fit_score(recent.train(df), rows, columns, **model), 1 - weight)])
+def rank_mean(parts: Sequence[tuple[DataFrame, float]]) -> DataFrame:
+    """Weighted mean of each part's average-tie percent ranks."""
+    from .drift import average_rank
+
+    return blend_scores([(average_rank(s, "score", "_rank").select(ID, F.col("_rank").alias("score")), w) for s, w in parts])
 
 
-def self_training(train: DataFrame, unlabelled: DataFrame, scores: DataFrame, label: str = "label") -> DataFrame:
+def soft_labels(train: DataFrame, unlabelled: DataFrame, scores: DataFrame, label: str = "label", weight: float = 1.0) -> DataFrame:
     """Soft pseudo labels: every unlabelled row twice, positive with weight score and negative with the rest."""
     soft = unlabelled.join(scores, ID).withColumn("_both", F.explode(F.array(F.lit(1), F.lit(0))))
-    soft = soft.withColumn(label, F.col("_both")).withColumn("weight", F.when(F.col("_both") == 1, F.col("score")).otherwise(1 - F.col("score"))).drop("_both", "score")
+    soft = soft.withColumn(label, F.col("_both")).withColumn("weight", F.lit(weight) * F.when(F.col("_both") == 1, F.col("score")).otherwise(1 - F.col("score"))).drop("_both", "score")
     return train.withColumn("weight", F.lit(1.0)).unionByName(soft, allowMissingColumns=True)
+
+
+def hard_labels(train: DataFrame, unlabelled: DataFrame, scores: DataFrame, label: str = "label", top: float = 0.02, weight: float = 1.0) -> DataFrame:
+    """Hard pseudo labels: 1 for scores at or above the exact quantile 1 - top, else 0."""
+    cut = scores.agg(F.percentile("score", F.lit(1 - top)).alias("_cut"))
+    hard = unlabelled.join(scores, ID).join(F.broadcast(cut), F.lit(True)).withColumn(label, (F.col("score") >= F.col("_cut")).cast("int")).withColumn("weight", F.lit(weight)).drop("score", "_cut")  # one row
+    return train.withColumn("weight", F.lit(1.0)).unionByName(hard, allowMissingColumns=True)
+
+
+def compared_by_fold(results: DataFrame, baseline: DataFrame, metric: str = "metric") -> DataFrame:
+    """Each result beside the baseline's of the same fold, and their difference; folds that one side lacks have nulls."""
+    base = baseline.select("fold", F.col(metric).alias("baseline"))
+    return results.join(base, "fold", "full").withColumn("delta", dbl(metric) - dbl("baseline"))
+
+
+def clip(c: Column, low: float, high: float) -> Column:
+    """Nulls stay null."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+
+
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """value, code: 1 for the most frequent value, then on (ties by value); 0 is left for values that were not there. The coding of an embedding or an index."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("_one"))
+    return running(counts, [], ["n", "value"], {"_before": "_one"}, descending=True).select("value", (F.col("_before") + 1).alias("code"))
+
+
+def blend_weights(grid: Sequence[float], first: DataFrame, second: DataFrame) -> Mapping[float, DataFrame]:
+    """Scores w * first + (1 - w) * second for each w."""
+    return {w: blend_scores([(first, w), (second, 1 - w)]) for w in grid}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, neighbours, rows_only, shift, windows
+from . import build, history, models, neighbours, rows_only, shift, windows
 
-MODULES = (history, windows, neighbours, shift, rows_only)
+MODULES = (build, history, windows, neighbours, shift, models, rows_only)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -167,11 +167,11 @@ def ag3(spark, d):
 
 
 @query("ag4_label_clustering", f"""WITH {EVENTS}, g AS (SELECT device_id, count(*) AS n, sum(label) AS k FROM fact GROUP BY 1 HAVING count(*) > 1),
-t AS (SELECT sum(k * (k - 1))::DOUBLE / nullif(sum(k * (n - 1))::DOUBLE, 0) AS c, sum(k)::DOUBLE / nullif(sum(n)::DOUBLE, 0) AS b FROM g)
-SELECT 'device_id' AS entity, round(c, 9) AS p_given, round(b, 9) AS p_base, round(c / nullif(b, 0), 9) AS lift FROM t""")
+t AS (SELECT sum(k * (k - 1))::DOUBLE / nullif(sum(k * (n - 1))::DOUBLE, 0) AS c, sum(k * (k - 1))::DOUBLE / nullif(sum(n * (n - 1))::DOUBLE, 0) AS j, (SELECT sum(label)::DOUBLE / count(*)::DOUBLE FROM fact) AS b FROM g)
+SELECT 'device_id' AS entity, round(j, 9) AS p_joint, round(c, 9) AS p_given, round(b, 9) AS p_base, round(c / nullif(b, 0), 9) AS lift FROM t""")
 def ag4(spark, d):
     out = a.label_clustering(events_fact(spark, d), "device_id")
-    return out.select("entity", *[F.round(c, 9).alias(c) for c in ("p_given", "p_base", "lift")])
+    return out.select("entity", *[F.round(c, 9).alias(c) for c in ("p_joint", "p_given", "p_base", "lift")])
 
 
 @query("ag5_group_sizes", f"""WITH {EVENTS}, g AS (SELECT customer_id, device_id, count(*) AS n FROM fact GROUP BY 1, 2)
@@ -194,7 +194,7 @@ def ag7(spark, d):
     return fact.agg(*[F.round(F.percentile("v", F.lit(q)), 9).alias(n) for q, n in ((0.1, "q10"), (0.5, "q50"), (0.98, "q98"))], F.count_if(F.col("v") >= cut).alias("top_rows"))
 
 
-@query("ag10_ag11_fold_summary", f"""WITH {EVENTS}, f AS (SELECT transaction_type AS arm, us // {7 * DAY} AS week, sum(label)::DOUBLE / count(*)::DOUBLE AS rate FROM fact GROUP BY 1, 2)
+@query("ag10_fold_summary", f"""WITH {EVENTS}, f AS (SELECT transaction_type AS arm, us // {7 * DAY} AS week, sum(label)::DOUBLE / count(*)::DOUBLE AS rate FROM fact GROUP BY 1, 2)
 SELECT arm, round(avg(rate), 9) AS mean, round(stddev_pop(rate), 9) AS std, round(min(rate), 9) AS least, round(max(rate), 9) AS greatest FROM f GROUP BY arm""")
 def ag10(spark, d):
     rates = events_fact(spark, d).groupBy(F.col("transaction_type").alias("arm"), F.floor(F.col("us") / F.lit(7 * DAY)).alias("week")).agg((dbl(F.sum("label")) / dbl(F.count(F.lit(1)))).alias("rate"))
@@ -250,10 +250,10 @@ def se1(spark, d):
 
 
 @query("gr3_so2_edges", f"""WITH {LINES}, e AS (SELECT customer_id, merchant_id, count(*) AS n, min(us) AS first_us FROM fact GROUP BY 1, 2)
-SELECT customer_id, count(*) AS degree, sum(n)::BIGINT AS n_rows, min(first_us) AS first_us FROM e GROUP BY 1""")
+SELECT customer_id, count(*) AS degree, sum(n)::BIGINT AS n_rows, min(first_us) AS first_us FROM e GROUP BY 1 ORDER BY degree DESC, customer_id""")
 def gr3(spark, d):
     edges = lineitem_fact(spark, d).groupBy("customer_id", "merchant_id").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"))
-    return edges.groupBy("customer_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("n").alias("n_rows"), F.min("first_us").alias("first_us"))
+    return edges.groupBy("customer_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("n").alias("n_rows"), F.min("first_us").alias("first_us")).orderBy(F.desc("degree"), "customer_id")
 
 
 @query("jn3_recency_weights", f"""WITH {EVENTS} SELECT transaction_id, round(exp(-(ln(2) / 14.0) * ({JAN + 31 * DAY} - us) / {float(DAY)!r}), 9) AS weight, count(*) OVER (PARTITION BY device_id) AS device_rows,

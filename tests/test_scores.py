@@ -136,24 +136,18 @@ def test_component_sizes_before_each_row(spark):
     df = spark.createDataFrame(rows, "transaction_id string, us long, a string, b string")
     got = {x.transaction_id: (x.g_a_size, x.g_b_size) for x in graph.component_sizes(df, "a", "b", "g").collect()}
     assert got == brute_components(rows)
+    cut = {x.transaction_id: (x.g_a_size, x.g_b_size) for x in graph.component_sizes(df, "a", "b", "g", slice_edges=12, bucket=7).collect()}
+    assert cut == got  # several slices of time, lookups in buckets
     assert [got[f"U{i}"] for i in range(4)] == [(1, 1), (1, 1), (2, 2), (4, 4)]
 
 
-def test_folds_and_models(spark):
+def test_folds(spark):
     rng = random.Random(2)
     rows = [(i, i * HOUR, rng.random(), rng.choice(["a", "b", None]), int(rng.random() < 0.3)) for i in range(400)]
     df = spark.createDataFrame([(i, us, None if i % 17 == 0 else x + y, k, y) for i, us, x, k, y in rows], "transaction_id long, us long, x double, kind string, label int")
     fold = evaluate.Fold("f", 300 * HOUR, 400 * HOUR)
     counts = evaluate.fold_rows(df, [fold]).first()
     assert (counts.train_rows, counts.valid_rows) == (300, 100)
-    columns = evaluate.feature_columns(df)
-    assert columns == ["x", "kind"]
-    scores = evaluate.fit_score(fold.train(df), fold.validate(df), columns, kind="linear")
-    assert scores.count() == 100
-    both = evaluate.blend_scores([(scores, 0.88), (scores, 0.12)])
-    assert values(both, column="score") == pytest.approx(values(scores, column="score"))
-    soft = evaluate.self_training(fold.train(df), fold.validate(df).drop("label"), scores)
-    assert soft.count() == 300 + 200 and soft.where("weight < 0 or weight > 1").count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
