@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .quality import fit_quality, quality_rules
 from .sharding import shard_documents
 from .substring import dedup_substrings
+from .suffix_automaton import remove_reference_passages
 from .token_output import packed_rows
 from .topk import top_k
 from .tokenize import BytePairTokenizer, WordEndTokenizer
@@ -116,6 +117,29 @@ FROM w LEFT JOIN k USING (doc_id)
 """
 
 
+#: Words in a row that a document must share with an evaluation item before they are removed.
+REFERENCE_WORDS = 13
+
+
+def op4_reference_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffix automata at work: documents against the benchmark, a reference of bounded size."""
+    found = remove_reference_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), REFERENCE_WORDS)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+REFERENCE_SQL = rf"""
+WITH b AS (SELECT regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+g AS (SELECT DISTINCT unnest(list_transform(range(1, len(ws) - {REFERENCE_WORDS - 2}), lambda i: array_to_string(ws[i:i + {REFERENCE_WORDS - 1}], ' '))) AS k FROM b WHERE len(ws) >= {REFERENCE_WORDS}),
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - {REFERENCE_WORDS - 2})) AS s, unnest(list_transform(range(1, len(ws) - {REFERENCE_WORDS - 2}), lambda i: array_to_string(ws[i:i + {REFERENCE_WORDS - 1}], ' '))) AS k FROM w WHERE len(ws) >= {REFERENCE_WORDS}),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + {REFERENCE_WORDS})) AS pos FROM p SEMI JOIN g USING (k)),
+a AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w),
+k AS (SELECT a.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM a ANTI JOIN c USING (doc_id, pos) GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"), byte_tokenizer(), BYTE_END)
 
@@ -136,8 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pivot_topk": op8_pivot_topk,
         "op9_bounded_ring": op9_bounded_ring,
         "op10_best_fit": op10_best_fit,
+        "op4_reference_passages": op4_reference_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op8_pivot_topk": OP8_SQL}
+    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op4_reference_passages": REFERENCE_SQL, "op8_pivot_topk": OP8_SQL}

@@ -6,12 +6,15 @@ past every shard for matching statistics (the longest reference match that ends
 at each word), and maximal spans of at least `threshold` words are removed.
 
 The work is documents times shards. That is the right price for a reference of
-bounded size (an evaluation set); max_words is that bound, and a larger
-reference is refused. A corpus against itself goes through substring.py.
-
-Defined results: null texts have no words; reference rows that are null or
-shorter than the threshold match nothing; repeated rows each get a result;
-an empty reference removes nothing.
+bounded size (an evaluation set); max_words is that bound, at about 1 KB a word in
+each worker, and a larger reference is refused. A corpus against itself goes
+through substring.py.
+
+Defined results: null texts have no words; texts of any length are streamed whole
+(one may exceed a block); reference rows that are null or shorter than the threshold
+match nothing; repeated rows each get a result; a null doc_id stays null; an empty
+reference removes nothing; an empty table gives an empty table; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .text import blocks, words_of
 
 
@@ -88,7 +92,7 @@ def long_spans(lengths: list[int], threshold: int) -> np.ndarray:
     return np.cumsum(covered[:-1]) > 0
 
 
-def remove_reference_passages(docs: DataFrame, reference: DataFrame, threshold: int = 20, shard_words: int = 50_000, max_words: int = 1_000_000) -> DataFrame:
+def remove_reference_passages(docs: DataFrame, reference: DataFrame, threshold: int = 20, shard_words: int = 50_000, max_words: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_removed and kept text of every document; reference has a column text."""
     size = reference.agg(F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))), F.lit(0)).alias("n")).first().n
     if size > max_words:
@@ -119,4 +123,4 @@ def remove_reference_passages(docs: DataFrame, reference: DataFrame, threshold:
                 removed.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stream, "doc_id long, n_words long, n_removed long, kept string")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stream, "doc_id long, n_words long, n_removed long, kept string")
