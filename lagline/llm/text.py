@@ -125,8 +125,10 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: pa.Array, delimiters: np.ndarray = SPACES, lower: bool = False) -> Words:
     data, offsets = buffer_of(texts)
-    if lower:
-        data = LOWER[data]
+    return words_in(LOWER[data] if lower else data, offsets, delimiters)
+
+
+def words_in(data: np.ndarray, offsets: np.ndarray, delimiters: np.ndarray = SPACES) -> Words:
     n = len(data)
     inside = np.zeros(n + 1, bool)
     inside[:n] = ~delimiters[data]

@@ -2,23 +2,24 @@
 
 Tokenizers here split a text before they merge, so the ids of a text are those
 of its pieces in order, and a piece that occurs again need not be merged again.
-The cache lives in the Python worker and is emptied when it holds max_entries;
-it changes speed only. The ids are those of the library on the whole text.
+The cache lives in the Python worker and is bounded; it changes speed only. The
+ids are those of the library on the whole text.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import unicodedata
 from array import array
 from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 
+from .text import LOWER, Words, words_in
+
 MAX_CACHED_BYTES = 64
-_loaded: dict[tuple, "WordCache"] = {}
+_loaded: dict[tuple, object] = {}
 
 
 class WordCache:
@@ -46,19 +47,59 @@ class WordCache:
         return out
 
 
-#: ASCII marks that end words; the apostrophe is not one of them, as it begins contractions.
-CLOSING_MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\\"
+class WordTable:
+    """Packed ids by word, in two generations: words that are met often stay, words that are met once go.
+
+    encode_many gives the ids of a list of words as bytes of id_type.
+    """
 
+    def __init__(self, encode_many, id_type: np.dtype, max_entries: int = 600_000):
+        self.encode_many, self.id_type, self.max_entries = encode_many, np.dtype(id_type), max_entries
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def look(self, words: list[bytes]) -> list[bytes]:
+        out, now, before = list(map(self.now.get, words)), self.now, self.before
+        missing = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            ids = before.get(words[k])
+            if ids is None:
+                missing.append(k)
+            else:
+                out[k] = now[words[k]] = ids
+        if missing:
+            for k, ids in zip(missing, self.encode_many([words[k] for k in missing]), strict=True):
+                out[k] = ids
+                if len(words[k]) <= MAX_CACHED_BYTES:
+                    now[words[k]] = ids
+        if len(now) > self.max_entries:
+            self.before, self.now = now, {}
+        return out
 
-def closing_marks(word: bytes) -> tuple[bytes, bytes]:
-    """A word as (letters or digits at its end, the marks after them); no marks where the cut would not be one of the pre-tokenizer's."""
-    core = word.rstrip(CLOSING_MARKS)
-    if not core or len(core) == len(word) or b"<|" in word:
-        return word, b""
-    if core[-1] < 0x80:
-        return (core, word[len(core) :]) if core[-1:].isalnum() else (word, b"")
-    last = unicodedata.normalize("NFC", core.decode()[-1]).lower()[-1]
-    return (core, word[len(core) :]) if last.isalpha() else (word, b"")
+    def ids(self, w: Words) -> list[np.ndarray]:
+        """The ids of every document of a block: each distinct word is looked up once, the rest is gathered."""
+        if not len(w.start):
+            return [np.zeros(0, self.id_type)] * w.docs
+        _, first, word = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        if not alike(w, first[word]):  # two words with one hash: each is its own
+            first = word = np.arange(len(w.start))
+        raw = w.data.tobytes()
+        found = self.look([raw[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.id_type.itemsize
+        n = sizes[word]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], n) + np.arange(ends[-1])
+        ids, edges = np.frombuffer(b"".join(found), self.id_type)[at], ends[w.first].tolist()
+        return [ids[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def alike(w: Words, other: np.ndarray) -> bool:
+    """Whether every word has the bytes of the word named beside it."""
+    n = w.end - w.start
+    if (n != n[other]).any():
+        return False
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return bool((w.data[np.repeat(w.start, n) + within] == w.data[np.repeat(w.start[other], n) + within]).all())
 
 
 class WordEndTokenizer:
@@ -67,7 +108,7 @@ class WordEndTokenizer:
     def __init__(self, path: str):
         self.path = path
 
-    def _cache(self) -> WordCache:
+    def _table(self) -> WordTable:
         key = ("word-end", self.path)
         if key not in _loaded:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,30 +116,34 @@ class WordEndTokenizer:
 
             t = Tokenizer.from_file(self.path)
             small = t.get_vocab_size(with_added_tokens=True) <= 1 << 16
-            code = "H" if small else "I"
-            parts: dict[bytes, bytes] = {b"": b""}
+            kind = np.dtype("<u2" if small else "<u4")
 
             def encode_many(words: list[bytes]) -> list[bytes]:
-                cut = [closing_marks(w) for w in words]
-                if len(parts) > 600_000:
-                    parts.clear()
-                    parts[b""] = b""
-                new = list(set(chain.from_iterable(cut)) - parts.keys())
-                for p, e in zip(new, t.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-                    parts[p] = array(code, e.ids).tobytes()
-                out = [parts[a] + parts[b] for a, b in cut]
-                for p in new:
-                    if len(p) > MAX_CACHED_BYTES:
-                        del parts[p]
+                """Words are encoded as one text with blanks between them; where a token stands tells whose it is."""
+                out: list[bytes] = []
+                for k in range(0, len(words), 4096):
+                    some = b" ".join(words[k : k + 4096]).decode()
+                    sizes = np.fromiter(map(len, some.split(" ")), np.int64)
+                    e = t.encode(some, add_special_tokens=False)
+                    begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+                    edge = np.append(np.searchsorted(begin, np.cumsum(sizes + 1) - sizes - 1), len(begin)) * kind.itemsize
+                    raw, edge = np.array(e.ids).astype(kind).tobytes(), edge.tolist()
+                    out += [raw[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 return out
 
-            _loaded[key] = WordCache(encode_many, np.dtype("<u2" if small else "<u4"))
+            _loaded[key] = WordTable(encode_many, kind)
         return _loaded[key]
 
     def ids(self, texts: Iterable[bytes]) -> list[np.ndarray]:
-        # split() cuts bytes at ASCII white space only; lower() of bytes changes A-Z only.
-        # Special tokens are found before the library lower-cases, so where one may stand the case is left alone.
-        return self._cache().ids([(t if b"<|" in t else t.lower()).split() for t in texts])
+        # Words end at ASCII white space only, and only A-Z is lowered. Special tokens are found before the library
+        # lower-cases, so where one may stand the case is left alone.
+        texts = list(texts)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        lowered = LOWER[data]
+        for k in [k for k, t in enumerate(texts) if b"<|" in t]:
+            lowered[offsets[k] : offsets[k + 1]] = data[offsets[k] : offsets[k + 1]]
+        return self._table().ids(words_in(lowered, offsets))
 
 
 class BytePairTokenizer:

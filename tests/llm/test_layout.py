@@ -202,6 +202,27 @@ def test_tokenizers_equal_the_libraries(rows):
     assert [library.decode(g.tolist()) for g in got] == texts
 
 
+def test_word_table_looks_each_word_up_and_forgets_the_rare(monkeypatch):
+    from lagline.llm import tokenize
+    from lagline.llm.text import words_in
+
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [np.frombuffer(w, np.uint8).astype("<u2").tobytes() for w in words]
+
+    table, rng = tokenize.WordTable(encode, np.dtype("<u2"), max_entries=8), np.random.default_rng(3)
+    for step in range(40):
+        texts = [b" ".join([b"often", *(b"w%d" % k for k in rng.integers(0, 90, rng.integers(0, 6)))]) if rng.random() < 0.9 else b"" for _ in range(3)] + [b"x" * 90]
+        if step == 30:
+            monkeypatch.setattr(tokenize.Words, "hashes", lambda self: np.zeros(len(self.start), np.uint64))  # all words share a hash
+        w = words_in(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+        assert [g.astype(np.uint8).tobytes() for g in table.ids(w)] == [t.replace(b" ", b"") for t in texts]
+        assert len(table.now) <= 8 + 20 and len(table.before) <= 8 + 20
+    assert asked.count(b"often") == 1
+
+
 def test_token_output_round_trip(docs, rows):
     got = packed_rows(docs, letters(), 0, row_length=128, block_tokens=20_000).collect()
     texts, parts = {i: (t or "").encode() for i, t, *_ in rows}, {}
