@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -91,6 +92,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def positions(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds position (long): the row's place in its group in the given order, gapless from 0; written once to the shared folder.
+
+    No group is one task's: rows are cut into ranges of (groups, order, a number of the row's own), numbered inside their
+    range as they are sorted, and a table of one row a group and range tells where the group's part of a range begins.
+    Rows equal in groups and order are placed as they come. The table may not have the columns position and _lag_*.
+    """
+    reserved(df, "position", "_lag_tie", "_lag_place", "_lag_first")
+    tied = df.withColumn("_lag_tie", F.monotonically_increasing_id())
+    n = partitions(df.sparkSession)
+    cut = tied.repartitionByRange(n, *groups, *order, "_lag_tie").sortWithinPartitions(*groups, *order, "_lag_tie")
+    held = stored(cut.drop("_lag_tie").withColumn("_lag_place", F.monotonically_increasing_id()), name)  # range << 33 | place in the range
+    part = F.shiftright("_lag_place", 33)
+    parts = held.groupBy(*groups, part.alias("_lag_part")).agg(F.min("_lag_place").alias("_lag_first"), F.count(F.lit(1)).alias("_lag_n"))
+    earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_lag_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = parts.select(*[F.col(g).alias(f"_lag_g{i}") for i, g in enumerate(groups)], "_lag_part", (F.coalesce(F.sum("_lag_n").over(earlier), F.lit(0)) - F.col("_lag_first")).alias("_lag_shift"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_lag_g{i}")) for i, g in enumerate(groups)], part == F.col("_lag_part"))
+    return held.join(before, same).select(*df.columns, (F.col("_lag_place") + F.col("_lag_shift")).alias("position"))
+
+
 def id_array(batch: pa.RecordBatch, column: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
     """An integer column as int64, nulls as the least value, and where it is null."""
     col = batch.column(column)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .jaccard import JaccardParams, jaccard_classes
 from .licenses import license_scan
+from .merkle import audit_documents
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, quality_rules
@@ -148,6 +149,35 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), 4096, PACK_END)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, audited after n_chars has grown by one where 7 divides the id's checksum."""
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    return audit_documents(table(spark, sf_dir, "documents"), F.col("n_chars") + F.when(hit, 1).otherwise(0))
+
+
+OP12_SQL = """
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+  list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+  sha256(head || coalesce(strlen(t::VARCHAR) || ':' || t, '-') || tail) AS now
+  FROM (SELECT *, n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS t FROM f)),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+t AS (SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS hs FROM p GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(hs), 2), lambda k: sha256(hs[k + 1] || coalesce(hs[k + 2], ''))) FROM t WHERE len(hs) > 1),
+s AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(hs) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS hs FROM s
+  UNION ALL SELECT level + 1, list_transform(range(0, len(hs), 2), lambda k: sha256(hs[k + 1] || coalesce(hs[k + 2], ''))) FROM u WHERE len(hs) > 1),
+steps AS (SELECT doc_id, leaf, t.level AS level, (p.pos >> t.level) & 1 AS side, coalesce(t.hs[xor(p.pos >> t.level, 1) + 1], '') AS h FROM p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang AND len(t.hs) > 1
+  UNION ALL SELECT doc_id, leaf, 1000 + u.level, (s.pos >> u.level) & 1, coalesce(u.hs[xor(s.pos >> u.level, 1) + 1], '') FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN u ON len(u.hs) > 1),
+w AS (SELECT doc_id, leaf, list({'side': side, 'h': h} ORDER BY level) AS path FROM steps GROUP BY doc_id, leaf),
+v AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT hs[1] FROM u WHERE len(hs) = 1) AS root, sha256(array_to_string(list_transform(coalesce(w.path, []), lambda x: x.h), '')) AS proof_sha256,
+  list_reduce(list_prepend({'side': 0, 'h': p.now}, coalesce(w.path, [])), lambda a, x: {'side': 0, 'h': CASE WHEN x.side = 1 THEN sha256(x.h || a.h) ELSE sha256(a.h || x.h) END}).h AS folded_root
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang LEFT JOIN w ON p.doc_id IS NOT DISTINCT FROM w.doc_id AND p.leaf = w.leaf)
+SELECT *, folded_root = root AS verified FROM v
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_poisson_mixing": op1_poisson_mixing,
@@ -161,8 +191,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bounded_ring": op9_bounded_ring,
         "op10_best_fit": op10_best_fit,
         "op4_reference_passages": op4_reference_passages,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op4_reference_passages": REFERENCE_SQL, "op8_pivot_topk": OP8_SQL}
+    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op4_reference_passages": REFERENCE_SQL, "op8_pivot_topk": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
