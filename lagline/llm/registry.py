@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .jaccard import JaccardParams, jaccard_classes
 from .licenses import license_scan
+from .main_text import fit_pages, main_text
 from .merkle import audit_documents
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -24,6 +25,7 @@ from .token_output import packed_rows
 from .topk import top_k
 from .tokenize import BytePairTokenizer, WordEndTokenizer
 from .toxicity import fit_toxicity, score_toxicity
+from .whitening import fit_whitening, whiten
 
 #: Ids of the closing token: the contract's, and the free id of the byte-level vocabulary.
 PACK_END, BYTE_END = 1, 50256
@@ -149,6 +151,11 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), 4096, PACK_END)
 
 
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit_whitening(vectors))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, audited after n_chars has grown by one where 7 divides the id's checksum."""
     hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
@@ -178,6 +185,21 @@ SELECT *, folded_root = root AS verified FROM v
 """
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, fit_pages(pages))
+
+
+#: For pages as the test tables have them: one article of headings and paragraphs.
+OP13_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g')) AS blocks FROM a),
+d AS (SELECT page_id, url, list_transform(blocks, lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS blocks FROM b),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_poisson_mixing": op1_poisson_mixing,
@@ -191,9 +213,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bounded_ring": op9_bounded_ring,
         "op10_best_fit": op10_best_fit,
         "op4_reference_passages": op4_reference_passages,
+        "op11_lobpcg_whitening": op11_lobpcg_whitening,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_main_text": op13_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op4_reference_passages": REFERENCE_SQL, "op8_pivot_topk": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op1_poisson_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op4_reference_passages": REFERENCE_SQL, "op8_pivot_topk": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_main_text": OP13_SQL}

@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "documents embeddings benchmark labels".split():
+    for t in "documents embeddings benchmark labels pages".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{D}/{t}.parquet')")
     return con
 
@@ -39,6 +39,23 @@ def test_query_equals_sql(spark, duck, name):
     assert not [c for c in columns if not got[c].equals(want[c])] and len(got) == len(want)
 
 
+def test_whitening(spark, duck):
+    """Against numpy's eigenvectors of the exactly summed covariance."""
+    held = duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    x = np.floor(1024 * np.array([v for _, v in held], float)).astype(np.int64) + 100_000
+    n, sums = len(x), x.sum(0)
+    d = n * x - sums
+    value, vector = np.linalg.eigh((d.T @ d).astype(float) / n**3)
+    value, vector = value[::-1][:8], vector[:, ::-1][:, :8]
+    got = registry.op11_lobpcg_whitening(spark, D).toPandas().sort_values(["vec_id", "component"])
+    assert got["vec_id"].tolist() == [i for i, _ in held for _ in range(8)] and got["component"].tolist() == list(range(1, 9)) * n
+    assert (got["n"] == n).all() and got["deviation"].tolist() == [s for s in (d * d).sum(1).tolist() for _ in range(8)]
+    w, want = got["whitened"].to_numpy().reshape(n, 8), d / n @ vector / np.sqrt(value)
+    assert np.abs(w * np.sign((w * want).sum(0)) - want).max() < 1e-9
+    assert np.allclose(got["explained"].to_numpy().reshape(n, 8), value / (np.square(d / n).sum() / n), rtol=1e-10, atol=0)
+    assert got["identity_error"].nunique() == 1 and got["identity_error"].iloc[0] < 1e-10
+
+
 def test_toxic_scores(spark, texts):
     got = registry.op2_toxic_segments(spark, D).collect()
     assert sorted(r.doc_id for r in got) == sorted(texts)
