@@ -4,8 +4,9 @@ A source with share w of the target and size s of the corpus T has the mean
 repetition rate w * T / s. Every document draws its number of copies from the
 Poisson distribution with that mean by inverting its distribution function at a
 uniform number that a hash of seed, doc_id, text and the row's number among rows
-equal in both gives: the same document gets the same count in every run and on
-every cluster, and documents without ids of their own draw apart. Documents are
+equal in both gives. Such rows are numbered in the order of a hash of their other
+columns, so the same document gets the same count in every run, on every cluster
+and in every order of rows, and documents without ids of their own draw apart. Documents are
 exploded by their count and dealt to partitions by a hash of that draw and the
 copy, and sorted by another inside them: a global shuffle without a global sort,
 in which no source meets in one place.
@@ -14,8 +15,8 @@ Sizes are UTF-8 bytes of text plus one a document. Only one row a source is
 aggregated and joined back. Sources are counted first: up to broadcast_sources
 that side is broadcast and the text is shuffled once, for the deal; beyond, the
 join is left to Spark, which splits a source that holds a third of the rows. Rows
-are numbered only if some are equal in doc_id and text, in two levels (inside a
-partition, then over partitions), so that no group of them is one task's.
+are numbered only if some are equal in doc_id and text, by positions(), so that no
+group of them is one task's.
 
 Defined results: a null source is a source of its own; null and empty texts are
 documents of size one; texts of any length count whole; a source without a weight
@@ -30,9 +31,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import positions, stored
 
 #: Digits of md5 that make the uniform number, and their range.
 HEX_DIGITS, HEX_RANGE = 13, float(1 << 52)
@@ -78,32 +80,41 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return target.select("source", (F.col("weight") / F.col("weights") * F.col("corpus") / F.col("size")).alias("rate"))
 
 
+def others_hash(row: StructType) -> Column:
+    """A hash of all columns of `row` but doc_id and text, by name: tells rows apart that are equal in both."""
+    parts = [F.to_json(F.col(f"row.`{f.name}`")) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.col(f"row.`{f.name}`").cast("string") for f in sorted(row.fields, key=lambda f: f.name) if f.name not in ("doc_id", "text")]
+    return F.md5(F.concat_ws(":", *(F.coalesce(p, F.lit("null")) for p in parts)))
+
+
 def repeat_numbers(rows: DataFrame) -> DataFrame:
-    """rows: row (struct), id, hash. Adds nth: the row's number among rows of its id and hash."""
+    """rows: row (struct), id, hash. Adds nth: the row's number among rows of its id and hash, in the order of their other columns."""
     repeats = rows.groupBy("id", "hash").count().where("count > 1").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
     if repeats.limit(1).isEmpty():
         return rows.withColumn("nth", F.lit(0).cast("long"))
     held = stored(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
     keys = stored(repeats, "repeats")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    twins = held.select("id", "hash", "number", F.shiftright("number", 33).alias("part")).join(keys, same, "left_semi")
-    parts = twins.groupBy("id", "hash", "part").count()
-    before = parts.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("part").alias("_part"), F.coalesce(F.sum("count").over(Window.partitionBy("id", "hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("id", "hash", "part").orderBy("number")) - 1
-    nth = twins.withColumn("inside", inside).join(before, same & (F.col("part") == F.col("_part"))).select("number", (F.col("inside") + F.col("before")).alias("nth"))
+    twins = held.select("id", "hash", "number", others_hash(rows.schema["row"].dataType).alias("others")).join(keys, same, "left_semi")
+    nth = positions(twins, ["id", "hash"], ["others"], "twins").select("number", F.col("position").alias("nth"))
     return held.join(nth, "number", "left").withColumn("nth", F.coalesce("nth", F.lit(0)).cast("long")).drop("number")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, seed: str = "mix", broadcast_sources: int = 10_000) -> DataFrame:
-    """All columns of docs, each row as often as drawn, with copy (from 0), mix_rate and mix_u; globally shuffled."""
-    own = [f"`{c}`" for c in docs.columns if c.lower() not in ("copy", "mix_rate", "mix_u")]
+def draw_copies(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, seed: str = "mix", broadcast_sources: int = 10_000) -> DataFrame:
+    """row (a struct of all columns of docs), as often as drawn, with copy (from 0), mix_rate and mix_u; globally shuffled."""
     rates = poisson_cdf(source_rates(docs, weights, alpha))
     if rates.select("source").limit(broadcast_sources + 1).count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("hash"))  # no column of docs stands beside the operator's
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("hash"))  # no column of docs stands beside the operator's
     rows = repeat_numbers(rows).withColumn("mix_u", uniform(seed, F.col("id"), F.col("hash"), F.col("nth")))
     drawn = rows.join(rates, F.col("row.source").eqNullSafe(F.col("source")))
     count = F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
     copies = drawn.select("row", "mix_u", F.col("rate").alias("mix_rate"), F.explode(F.sequence(F.lit(1).cast("long"), F.nullif(count, F.lit(0).cast("long")))).alias("copy"))
     copies = copies.withColumn("copy", (F.col("copy") - 1).cast("int")).withColumn("at", F.xxhash64(F.lit(seed), "mix_u", "copy"))
-    return copies.repartition("at").sortWithinPartitions(F.xxhash64("at")).select("row.*", "copy", "mix_rate", "mix_u")
+    return copies.repartition("at").sortWithinPartitions(F.xxhash64("at")).select("row", "copy", "mix_rate", "mix_u")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, seed: str = "mix", broadcast_sources: int = 10_000) -> DataFrame:
+    """All columns of docs but those that draw_copies names itself, and those of draw_copies."""
+    own = [f"row.`{c}`" for c in docs.columns if c.lower() not in ("copy", "mix_rate", "mix_u")]
+    return draw_copies(docs, weights, alpha, seed, broadcast_sources).select(*own, "copy", "mix_rate", "mix_u")

@@ -58,7 +58,7 @@ r AS (SELECT source, sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () /
 k AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT)) AS k FROM r),
 t AS (SELECT source, rate, k, k * ln(rate) - rate - sum(CASE WHEN k > 0 THEN ln(greatest(k, 1)) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS log_term FROM k),
 c AS (SELECT source, rate, k, sum(exp(log_term)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM t),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY source, lang) - 1 AS nth FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY md5(concat_ws(':', coalesce(lang, 'null'), coalesce(n_chars::VARCHAR, 'null'), coalesce(source, 'null')))) - 1 AS nth FROM d),
 u AS (SELECT n.*, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || nth), 1, 13))::BIGINT / 4503599627370496.0 AS mix_u FROM n)
 SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, c.k::INTEGER AS copy, round(c.rate, 9) AS mix_rate, u.mix_u
 FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.mix_u

@@ -1,8 +1,8 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has n_cells cells. Every shard owns n_virtual of them (virtual nodes,
-placed by a hash of shard and number); a key is hashed to a cell and belongs to
-the first virtual node from there clockwise. Loads are bounded: a shard takes
+placed by a hash of shard and number); a key, which is all of a row's columns, is
+hashed to a cell and belongs to the first virtual node from there clockwise. Loads are bounded: a shard takes
 floor(rows / shards) rows, the first rows % shards shards one more, and keys
 overflowing a full shard continue clockwise to the next shard with room. Since
 the bounds add up to the number of rows, every shard ends exactly full: row
@@ -11,16 +11,18 @@ counts differ by one at most, whatever the hash does.
 The walk needs only the number of keys in each cell, so it runs over n_cells
 counts (a constant), not over rows. Its result, (cell, first rank, shard, slot
 of the first rank), has n_cells + n_shards entries at most and is joined back by
-cell and rank inside the cell. Rows with the same key are counted together
-before that shuffle and told apart by a running count, so that a key which
-holds a third of all rows does not meet in one task.
+cell and rank inside the cell. Equal rows are counted together before that shuffle
+and told apart by a running count, and rows that share an id, or have none, but
+differ otherwise hash apart: neither meets in one task if it holds a third of all
+rows. A cell holds about rows / n_cells different rows.
 
 Adding a shard moves the keys of its virtual nodes and those that the lower
 bounds push on; the rest stays.
 
-Defined results: a null text is empty (size 8, crc32 0); null keys hash as a
-key of their own; repeated rows get slots of their own; an empty table gives an
-empty table.
+Defined results: a null text is empty (size 8, crc32 0) and a text of any length
+counts whole; rows without an id are placed by what else they hold; repeated rows
+get slots of their own; an empty table gives an empty table; columns named shard or
+slot give way to the operator's own, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 N_CELLS = 1 << 16
@@ -80,34 +81,34 @@ def walk(counts: np.ndarray, nodes: np.ndarray, n_shards: int) -> list[tuple[int
 
 
 def shard_rows(keys: DataFrame, n_shards: int, n_virtual: int = 128, n_cells: int = N_CELLS, seed: int = 0) -> DataFrame:
-    """keys: a column `key` and any others. Adds shard (int) and slot (long, gapless from 0 in each shard)."""
+    """keys: any columns that can be ordered; all of them are the key. Adds shard (int) and slot (long, gapless from 0 in each shard)."""
     spark: SparkSession = keys.sparkSession
-    others = keys.columns
-    held = keys.groupBy(*others).agg(F.count(F.lit(1)).alias("_copies"))
-    held = held.withColumn("_cell", F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.lit(n_cells)).cast("int"))
+    others = [c for c in keys.columns if c.lower() not in ("shard", "slot")]
+    cell = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others], F.lit(seed)), F.lit(n_cells)).cast("int")
+    rows = keys.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), cell.alias("cell"))  # no column of keys stands beside the operator's
+    held = rows.groupBy("row", "cell").agg(F.count(F.lit(1)).alias("copies"))
     counts = np.zeros(n_cells, np.int64)
-    for cell, n in keys.groupBy(F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.lit(n_cells)).cast("int").alias("_cell")).count().collect():  # n_cells rows at most
-        counts[cell] = n
+    for at, n in rows.groupBy("cell").count().collect():  # n_cells rows at most
+        counts[at] = n
     plan = walk(counts, ring(n_shards, n_virtual, n_cells, seed), n_shards)
     limits: dict[int, int] = {}
     pieces = []
-    for cell, rank, shard, slot in reversed(plan):  # the rank at which the next piece of the cell begins
-        pieces.append((cell, rank, limits.get(cell, int(counts[cell])), shard, slot))
-        limits[cell] = rank
-    schema = T.StructType([T.StructField("_cell", T.IntegerType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("_slot", T.LongType())])
-    layout = spark.createDataFrame(pieces, schema)
-    order = Window.partitionBy("_cell").orderBy(*others)
-    ranked = held.withColumn("_end", F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("_begin", F.col("_end") - F.col("_copies"))
+    for at, rank, shard, slot in reversed(plan):  # the rank at which the next piece of the cell begins
+        pieces.append((at, rank, limits.get(at, int(counts[at])), shard, slot))
+        limits[at] = rank
+    layout = spark.createDataFrame(pieces, "cell int, least long, limit long, shard int, first_slot long")
+    order = Window.partitionBy("cell").orderBy("row")
+    ranked = held.withColumn("end", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("begin", F.col("end") - F.col("copies"))
     # n_cells + n_shards rows at most, a constant: safe to broadcast
-    placed = ranked.join(F.broadcast(layout), "_cell").where("_begin < _to and _end > _from")
-    first, last = F.greatest("_begin", "_from"), F.least("_end", "_to") - 1
-    placed = placed.withColumn("_rank", F.explode(F.sequence(first, last)))
-    return placed.select(*others, "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
+    placed = ranked.join(F.broadcast(layout), "cell").where("begin < limit and end > least")
+    first, last = F.greatest("begin", "least"), F.least("end", "limit") - 1
+    placed = placed.withColumn("rank", F.explode(F.sequence(first, last)))
+    return placed.select("row.*", "shard", (F.col("first_slot") + F.col("rank") - F.col("least")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document; the text itself is not shuffled."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keys = docs.select(F.col("doc_id").cast("long").alias("key"), (F.octet_length(text).cast("long") + F.lit(8)).alias("size"), F.crc32(text).alias("text_crc32"))
-    return shard_rows(keys, n_shards, seed=seed).withColumnRenamed("key", "doc_id")
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + F.lit(8)).alias("size"), F.crc32(text).alias("text_crc32"))
+    return shard_rows(keys, n_shards, seed=seed)

@@ -20,7 +20,8 @@ in which each feature counts max_repeats times at most, so it depends on the
 segment alone and not on what stands elsewhere in the text. The weights are
 aggregated by the sum statistic of several segments. The document's evidence t = -log P becomes t / (t + c), so 0.5 is the decision.
 The cut c, and how significant a feature must be, are those with the best F1 on
-a fifth of the sample from which no feature was learned.
+a fifth of the sample from which no feature was learned; of several rows of one
+labelled id the one with the most evidence counts there.
 
 Bounds: n_buckets counts and max_labels labelled rows leave the executors; no
 text is shuffled. Only text enters a score.
@@ -253,14 +254,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
             y = sample.lookup(ids)
             rows = np.flatnonzero((y >= 0) & wanted(ids, y))
             if len(rows):
-                yield y[rows], words_of(b.column("text").take(pa.array(rows)), NOT_ALNUM, lower=True)
+                yield ids[rows], y[rows], words_of(b.column("text").take(pa.array(rows)), NOT_ALNUM, lower=True)
 
     high, step = 16.0, 0.02
     bins = int(2 * high / step) + 1
 
     def spread(batches):
         found = np.zeros((len(models), bins), np.int64)
-        for _, w in labelled(batches, lambda ids, y: (y == 0) & for_cut(ids)):
+        for _, _, w in labelled(batches, lambda ids, y: (y == 0) & for_cut(ids)):
             for row, m in zip(found, models, strict=True):
                 row += np.bincount(np.clip(np.round((m.tokens(w) + high) / step), 0, bins - 1).astype(np.int64), minlength=bins)
         at = np.flatnonzero(found)
@@ -273,11 +274,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
         m.decay = decay_rate(np.arange(bins) * step - high, row)
 
     def weigh(batches):
-        for y, w in labelled(batches, lambda ids, y: for_cut(ids)):
+        for ids, y, w in labelled(batches, lambda ids, y: for_cut(ids)):
             for k, m in enumerate(models):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k)), pa.array(m.evidence(w)[0]), pa.array(y.astype(np.int32))], ["k", "t", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k)), pa.array(ids), pa.array(m.evidence(w)[0]), pa.array(y.astype(np.int32))], ["k", "id", "t", "y"])
 
-    seen = docs.mapInArrow(weigh, "k long, t double, y int").toPandas()  # a row a labelled row and model
+    weighed = docs.mapInArrow(weigh, "k long, id long, t double, y int")
+    seen = weighed.groupBy("k", "id", "y").agg(F.max("t").alias("t")).toPandas()  # a row a labelled id and model: max_labels bounds it, also where ids repeat
     best, chosen = -1.0, models[0]
     for k, m in enumerate(models):
         t, y = (seen.loc[seen["k"] == k, c].to_numpy() for c in ("t", "y"))

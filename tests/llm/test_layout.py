@@ -60,6 +60,22 @@ def test_mixing_of_repeated_and_missing_ids_and_clashing_columns(spark):
     assert len({r.mix_u for r in held if r.text == "x"}) > 50
 
 
+def test_mixing_of_repeats_does_not_depend_on_row_order(spark):
+    """200 rows of one id and text that differ in other columns: as SQL numbers them, in two row orders."""
+    import duckdb
+
+    from lagline.llm.registry import OP1_SQL
+
+    data = [(7, "x", "en" if k % 3 else None, "s" if k % 2 else "t", k) for k in range(200)] + [(k, "y", "de", "s", 1) for k in range(20)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", data)
+    want = sorted(con.sql(f"SELECT doc_id, n_chars, copy, mix_u FROM ({OP1_SQL})").fetchall())
+    for rows in (data, data[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        assert sorted(tuple(r) for r in mix_sources(df).select("doc_id", "n_chars", "copy", "mix_u").collect()) == want
+
+
 def test_mixing_large_rates_missing_weights_and_nothing(spark, nothing):
     df = spark.createDataFrame([(i, "x", "small") for i in range(20)] + [(100 + i, "x" * 2000, "big") for i in range(20)] + [(200, "x", None)], "doc_id long, text string, source string")
     for share, mean in ((1.0, 500), (9.0, 900), (39.0, 975)):  # rates below and above where the array starts at 0
@@ -93,7 +109,7 @@ def test_ring_limits_movement_and_serves_heavy_keys(spark, nothing):
     keys = spark.range(3000).select(F.col("id").alias("key"))
     a, b = ({r.key: r.shard for r in shard_rows(keys, n).collect()} for n in (10, 11))
     moved = sum(a[k] != b[k] for k in a) / 3000
-    assert moved < 0.5  # hashing modulo the number of shards moves ten elevenths
+    assert moved < 0.15  # hashing modulo the number of shards moves ten elevenths
     heavy = keys.union(spark.range(1500).select(F.lit(7).cast("long").alias("key")))
     slots = Counter(r.shard for r in shard_rows(heavy, 10).collect())
     assert set(slots.values()) == {450}
@@ -101,6 +117,18 @@ def test_ring_limits_movement_and_serves_heavy_keys(spark, nothing):
     assert len(ring(5, 16, 1 << 10)) == 80
 
 
+def test_shards_of_rows_without_ids_and_clashing_columns(spark):
+    """Rows that share an id, or have none, are spread over cells; no column of the input is mistaken for the operator's."""
+    data = [(None, f"text {k}") for k in range(3000)] + [(5, f"other {k}") for k in range(2000)] + [(None, None)] * 500
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = shard_documents(docs, 10).collect()
+    assert Counter(r.shard for r in got) == Counter({s: 550 for s in range(10)}) and len(got) == len(data)
+    extra = {c: F.lit(6) for c in ("row", "cell", "copies", "begin", "end", "least", "limit", "first_slot", "rank", "_cell", "_copies")}
+    clash = shard_rows(docs.withColumns(extra).withColumns({"Shard": F.lit(1), "slot": F.lit(2)}), 10)
+    assert clash.columns == ["doc_id", "text", *extra, "shard", "slot"]
+    assert all(r[c] == 6 for r in clash.collect() for c in extra) and len(set(r.slot for r in clash.collect())) == 550
+
+
 def test_walk_takes_the_next_shard_with_room():
     nodes = np.array([(2, 0), (5, 1), (7, 2)])
     counts = np.zeros(8, np.int64)

@@ -130,6 +130,17 @@ def test_packed_rows(spark, texts):
         assert held[-1] == registry.BYTE_END and library.decode(held[:-1].tolist()) == t
 
 
+def test_models_take_one_row_of_a_labelled_id(spark, docs, labels):
+    """A labelled id that a third of the rows repeat."""
+    from lagline.llm.quality import fit_quality
+    from lagline.llm.toxicity import fit_toxicity
+
+    hot = docs.where("doc_id = 0").crossJoin(spark.range(40)).drop("id")  # one row by forty
+    more = docs.union(hot)
+    assert np.isfinite(fit_quality(more, labels).threshold) == np.isfinite(fit_quality(docs, labels).threshold)
+    assert fit_toxicity(more, labels).cut > 0
+
+
 def test_operators_take_null_ids_and_empty_tables(spark, nothing):
     """What the contracts leave open: rows without an id, and no rows at all."""
     from lagline.llm.sharding import shard_documents
