@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import text_or
 from ..plans.frames import ID, US
+from ..sources.scratch import stored
 
 #: Ranges, and values sampled to find their edges.
 RANGES, SAMPLED = 128, 8192
@@ -51,6 +52,24 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     return out.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
+def placed(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds the row's place in its group in the given order, gapless from 0; written once to the shared folder.
+
+    No group is one task's: rows are cut into ranges of (groups, order, a number of the row's own), numbered as they are
+    sorted inside their range, and a table of one row a group and range tells where the group's part of a range begins.
+    Rows equal in groups and order are placed as they come.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *groups, *order, "_tie").sortWithinPartitions(*groups, *order, "_tie")
+    held = stored(cut.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "placed")  # range << 33 | place in the range
+    part = F.shiftright("_at", 33)
+    parts = held.groupBy(*groups, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = parts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)], part == F.col("_part"))
+    return held.join(before, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
 def prior_by_keys(df: DataFrame, keys: Mapping[str, tuple[str, str]], bucket: int, whole: str | None = None) -> DataFrame:
     """For keys of few values, each with millions of rows: {name}_n and {name}_s, the number of earlier rows with this row's value and the sum of their _cents.
 
