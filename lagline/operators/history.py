@@ -48,7 +48,7 @@ def expanding(entity: str, p: str, amount: str = "amount") -> list[Feature]:
 
 
 def robust(entity: str, p: str, amount: str = "amount") -> list[Feature]:
-    """Prior median, prior median absolute deviation from the running median, and the robust z-score.
+    """Prior median, prior median absolute deviation from the running median, and the robust z-score: the definition, for small tables; robust.py has it for large ones.
 
     The deviation of an entity's first row is unknown (null), so no entity's values reach another's.
     """
