@@ -3,17 +3,21 @@
 Each function returns features for lagline.plans.spec.plan; none looks at the
 row's own future. Empty histories give 0 for counts and sums and null for
 everything that would divide by them.
+
+Families ask a Prior what came before: window functions by entity, or Scanned,
+columns that a scan over blocks has made, for entities that are too large for one
+window partition. The formulas are the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DAY, cents, dbl, money, or_zero, over_count, over_eps, seconds, text_or
-from ..plans.frames import ID, US, ordered, prior, rank_before
+from ..functions.scalar import cents, dbl, money, over_count, over_eps, seconds, text_or
+from ..plans.frames import ID, US, prior
 from ..plans.spec import Direction, Feature, plan
-from .ordered import prior_by_keys
+from .scan import LAST, N, Prior, Scanned, State, prior_by_keys, prior_states, text_key
 
 
 def whole(amount: str = "amount") -> Feature:
@@ -26,17 +30,17 @@ def exact_double(c: Column) -> Column:
     return dbl(c) / F.lit(10_000.0)
 
 
-def expanding(entity: str, p: str, amount: str = "amount") -> list[Feature]:
+def expanding(entity: str, p: str, amount: str = "amount", past: Prior | None = None) -> list[Feature]:
     """History count, sum, mean, population std, z-score and ratio to the mean of the amounts before this one."""
-    past = prior(entity)
-    n = rank_before(entity)
-    wide = F.col("_cents").cast("decimal(19,0)")
-    total, square = F.sum("_cents").over(past), F.sum((wide * wide).cast("decimal(38,0)")).over(past)
+    past = past or Prior(entity)
+    n, wide = past.count(), cents(amount).cast("decimal(19,0)")
+    total, square = past.sum("_cents"), past.sum("_square")
     name = lambda s: F.col(f"{p}_{s}")
     mean, std = name("amt_mean_prior"), name("amt_std_prior")
     variance = over_count(F.col(f"_{p}_square"), name("history_count")) - mean * mean
     return [
         whole(amount),
+        Feature("_square", (wide * wide).cast("decimal(38,0)"), Direction.ROW, stage=-1),
         Feature(f"{p}_history_count", n.cast("long")),
         Feature(f"{p}_amt_sum_prior", money(F.coalesce(total, F.lit(0)))),
         Feature(f"_{p}_square", exact_double(square)),
@@ -61,35 +65,38 @@ def robust(entity: str, p: str, amount: str = "amount") -> list[Feature]:
     ]
 
 
-def log_zscore(entity: str, p: str, amount: str = "amount") -> list[Feature]:
+def log_zscore(entity: str, p: str, amount: str = "amount", past: Prior | None = None) -> list[Feature]:
     """Z-score on log1p(amount); logs are whole numbers of 1e-8, so that their sums are exact and don't depend on order."""
-    past, n = prior(entity), F.col(f"_{p}_log_n")
+    past, n = past or Prior(entity), F.col(f"_{p}_log_n")
     square = F.col("_log") * F.col("_log")  # below 2 ** 63 for amounts below 1e13; summed in two parts, as the sum is not
     high, low = F.shiftright(square, 30), square.bitwiseAND((1 << 30) - 1)
     mean = over_count(F.col(f"_{p}_log_sum") / F.lit(1e8), n)
     variance = over_count((dbl(f"_{p}_log_high") * float(1 << 30) + dbl(f"_{p}_log_low")) / F.lit(1e16), n) - mean * mean
     return [
-        Feature("_log", F.rint(F.log1p(dbl(amount)) * 1e8).cast("long"), Direction.ROW, stage=-1),
-        Feature(f"_{p}_log_n", rank_before(entity)),
-        Feature(f"_{p}_log_sum", dbl(F.sum("_log").over(past))),
-        Feature(f"_{p}_log_high", F.sum(high).over(past)),
-        Feature(f"_{p}_log_low", F.sum(low).over(past)),
+        Feature("_log", F.rint(F.log1p(dbl(amount)) * 1e8).cast("long"), Direction.ROW, stage=-2),
+        Feature("_log_high", high, Direction.ROW, stage=-1),
+        Feature("_log_low", low, Direction.ROW, stage=-1),
+        Feature(f"_{p}_log_n", past.count()),
+        Feature(f"_{p}_log_sum", dbl(past.sum("_log"))),
+        Feature(f"_{p}_log_high", past.sum("_log_high")),
+        Feature(f"_{p}_log_low", past.sum("_log_low")),
         Feature(f"{p}_log_amt_zscore", (dbl("_log") / F.lit(1e8) - mean) / (F.sqrt(F.greatest(variance, F.lit(0.0))) + F.lit(1e-6)), stage=1),
     ]
 
 
-def gaps(entity: str, p: str) -> list[Feature]:
+def gaps(entity: str, p: str, past: Prior | None = None) -> list[Feature]:
     """Seconds since the last and the one before, and how much the gap tightens."""
-    o = ordered(entity)
-    one, two = seconds(F.col(US) - F.lag(US, 1).over(o)), seconds(F.col(US) - F.lag(US, 2).over(o))
+    past = past or Prior(entity)
+    one, two = (seconds(F.col(US) - past.last(k)) for k in (1, 2))
     g1, g2 = F.col(f"{p}_seconds_since_last"), F.col(f"{p}_seconds_since_last2")
     return [Feature(f"{p}_seconds_since_last", one), Feature(f"{p}_seconds_since_last2", two), Feature(f"{p}_seconds_since_last2_gap", g2 - g1, stage=1), Feature(f"{p}_gap_tightening", (g1 + 1) / (g2 - g1 + 1), stage=1)]
 
 
-def self_relative(entity: str, p: str, amount: str = "amount", rates: tuple[int, ...] = (1, 24)) -> list[Feature]:
+def self_relative(entity: str, p: str, amount: str = "amount", rates: tuple[int, ...] = (1, 24), past: Prior | None = None) -> list[Feature]:
     """Against the entity's own norm: gap acceleration, velocity ratios, prior maximum, records. Needs history_count, seconds_since_last and cnt_{h}h."""
-    top, n = F.max("_cents").over(prior(entity)), dbl(f"{p}_history_count")
-    age = seconds(F.col(US) - F.min(US).over(prior(entity)))
+    past = past or Prior(entity)
+    top, n = past.max("_cents"), dbl(f"{p}_history_count")
+    age = seconds(F.col(US) - past.min(US))
     held = F.col(f"_{p}_age")
     usual = n / F.greatest(held, F.lit(1.0))
     return [
@@ -103,25 +110,29 @@ def self_relative(entity: str, p: str, amount: str = "amount", rates: tuple[int,
     ]
 
 
-def hour_profile(entity: str, p: str) -> list[Feature]:
+def hour_bucket() -> Column:
+    return F.floor(F.hour(F.timestamp_micros(US)) / 4)
+
+
+def hour_profile(entity: str, p: str, past: Prior | None = None, same: Prior | None = None) -> list[Feature]:
     """Share of prior rows in the same four-hour bucket, and whether the bucket is new."""
     bucket, seen = f"_{p}_bucket", F.col(f"_{p}_seen")
     return [
-        Feature(bucket, F.floor(F.hour(F.timestamp_micros(US)) / 4), Direction.ROW),
-        Feature(f"_{p}_seen", rank_before(entity, bucket), stage=1),
-        Feature(f"{p}_hour_bucket_share", dbl(seen) / F.greatest(dbl(rank_before(entity)), F.lit(1.0)), stage=2),
+        Feature(bucket, hour_bucket(), Direction.ROW),
+        Feature(f"_{p}_seen", (same or Prior(entity, bucket)).count(), stage=1),
+        Feature(f"{p}_hour_bucket_share", dbl(seen) / F.greatest(dbl((past or Prior(entity)).count()), F.lit(1.0)), stage=2),
         Feature(f"{p}_new_hour_bucket", (seen == 0).cast("int"), stage=2),
     ]
 
 
-def pair_novelty(a: str, b: str, name: str) -> list[Feature]:
+def pair_novelty(a: str, b: str, name: str, past: Prior | None = None, pair: Prior | None = None) -> list[Feature]:
     """Whether the pair (a, b) is new, how many b's a has had before, and that per prior row. A null b is a value."""
-    key = f"_{name}_b"
+    key, past = f"_{name}_b", past or Prior(a)
     return [
         Feature(key, text_or(b, "\0null"), Direction.ROW),
-        Feature(f"is_new_{name}", (rank_before(a, key) == 0).cast("int"), stage=1),
-        Feature(f"{a}_nunique_{name}_prior", F.coalesce(F.sum(f"is_new_{name}").over(prior(a)), F.lit(0)).cast("long"), stage=2),
-        Feature(f"{a}_nunique_{name}_share_prior", dbl(f"{a}_nunique_{name}_prior") / F.greatest(dbl(rank_before(a)), F.lit(1.0)), stage=3),
+        Feature(f"is_new_{name}", ((pair or Prior(a, key)).count() == 0).cast("int"), stage=1),
+        Feature(f"{a}_nunique_{name}_prior", F.coalesce(past.sum(f"is_new_{name}"), F.lit(0)).cast("long"), stage=2),
+        Feature(f"{a}_nunique_{name}_share_prior", dbl(f"{a}_nunique_{name}_prior") / F.greatest(dbl(past.count()), F.lit(1.0)), stage=3),
     ]
 
 
@@ -137,56 +148,45 @@ def target_encoding(entity: str, tag: str, label: str = "label", alpha: float =
     ]
 
 
-def running_rank(df: DataFrame, keys: list[str], name: str, bucket: int = DAY) -> DataFrame:
-    """Number of rows before this one by (us, id) among rows with equal keys, in two levels.
-
-    A key with few values (a category, or none at all: the whole table) would be
-    one window partition. Here rows are ranked inside (keys, time bucket), and
-    the buckets' counts are summed up and joined back.
-    """
-    b = f"_{name}_bucket"
-    held = df.withColumn(b, F.floor(F.col(US) / F.lit(bucket)))
-    # one row a key and bucket: small beside the rows; Spark decides how to join it
-    counts = held.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(b).alias("_b"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    same = F.col(b) == F.col("_b")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    ranked = held.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, b).orderBy(US, ID)) - 1).join(before, same)
-    return ranked.withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).select(*df.columns, name)
-
-
-def frequency_share(df: DataFrame, column: str, bucket: int = 30 * DAY) -> DataFrame:
-    """Share of all earlier rows that have this row's category; a bucket of time is one task's work."""
-    held = prior_by_keys(df.withColumn("_cents", F.lit(0).cast("long")), {"_same": (column, "__missing__")}, bucket, "_all")
+def frequency_share(df: DataFrame, column: str, block_rows: int | None = None) -> DataFrame:
+    """Share of all earlier rows that have this row's category."""
+    held = prior_by_keys(df.withColumn("_cents", F.lit(0).cast("long")), {"_same": (column, "__missing__")}, "_all", block_rows)
     return held.select(*df.columns, (dbl("_same_n") / F.greatest(dbl("_all_n"), F.lit(1.0))).alias(f"{column}_freq_share_prior"))
 
 
-def expanding_sums_in_buckets(df: DataFrame, entity: str, p: str, amount: str = "amount", bucket: int = 7 * DAY) -> DataFrame:
-    """history_count and amt_sum_prior as in expanding(), for entities too large for one window partition.
+#: Row values that the levels' states are over.
+SUMS = ["_cents", "_square", "_log", "_log_high", "_log_low"]
+
+
+def scanned(df: DataFrame, entity: str, p: str, amount: str = "amount", pairs: dict[str, str] | None = None, profile: bool = False, block_rows: int | None = None) -> DataFrame:
+    """What expanding, log_zscore, gaps, self_relative, pair_novelty (pairs: name -> other column) and hour_profile ask Scanned(p), Scanned(name) and Scanned(f"{p}_hour") for.
 
-    Running sums inside (entity, time bucket) plus the sum of the entity's earlier buckets.
+    Pairs and hour buckets come first, since the entity's state sums up which pairs were new.
     """
-    held = running_rank(df, [entity], f"{p}_history_count", bucket).withColumn("_bucket", F.floor(F.col(US) / F.lit(bucket)))
-    sums = held.groupBy(entity, "_bucket").agg(F.sum(amount).alias("_sum"))
-    before = sums.withColumn("_earlier", F.sum("_sum").over(Window.partitionBy(entity).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
-    inside = F.sum(amount).over(prior(entity, "_bucket"))
-    joined = held.withColumn("_inside", inside).join(before, [entity, "_bucket"])
-    return joined.withColumn(f"{p}_amt_sum_prior", or_zero(F.coalesce(F.col("_inside"), F.lit(0)) + F.coalesce(F.col("_earlier"), F.lit(0)))).select(*df.columns, f"{p}_history_count", f"{p}_amt_sum_prior")
-
-
-def running_max_ratio(df: DataFrame, value: str, name: str) -> DataFrame:
-    """value over the largest earlier value of the table; the first row takes the second row's maximum. Two levels, as above."""
-    b = F.floor(F.col(US) / F.lit(DAY))
-    held = df.withColumn("_bucket", b)
-    tops = held.groupBy("_bucket").agg(F.max(value).alias("_top"))
-    earlier = tops.withColumn("_earlier", F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
-    inside = F.max(value).over(Window.partitionBy("_bucket").orderBy(US, ID).rowsBetween(Window.unboundedPreceding, -1))
-    first = df.orderBy(US, ID).limit(1).select(F.col(value).alias("_first"))
-    joined = held.withColumn("_inside", inside).join(earlier, "_bucket").join(F.broadcast(first), F.lit(True))  # one row
-    top = F.coalesce(F.greatest("_inside", "_earlier"), F.col("_first"))
-    return joined.withColumn(name, dbl(value) / F.nullif(dbl(top), F.lit(0.0))).select(*df.columns, name)
+    helpers = [f for f in (*expanding(entity, p, amount), *log_zscore(entity, p, amount)) if f.stage < 0]
+    held, pairs = plan(df, helpers), pairs or {}
+    inner = {name: (text_key(entity, b), [N]) for name, b in pairs.items()}
+    if profile:
+        held = held.withColumn("_hour", hour_bucket())
+        inner[f"{p}_hour"] = (text_key(entity, "_hour"), [N])
+    if inner:
+        held = prior_states(held, inner, block_rows).withColumns({f"_new_{name}": (F.col(f"_{name}_n") == 0).cast("int") for name in pairs})
+    states = [N, LAST, State("max", "_cents"), State("min", US), *(State("sum", c) for c in SUMS), *(State("sum", f"_new_{name}") for name in pairs)]
+    held = prior_states(held, {p: (text_key(entity), states)}, block_rows)
+    return held.withColumns({f"_{p}_sum_is_new_{name}": F.col(f"_{p}_sum_new_{name}") for name in pairs})
+
+
+def expanding_in_blocks(df: DataFrame, entity: str, p: str, amount: str = "amount", block_rows: int | None = None) -> DataFrame:
+    """Levels, log z-score and gaps of entities of any size."""
+    held, past = scanned(df, entity, p, amount, block_rows=block_rows), Scanned(p)
+    return plan(held, [*expanding(entity, p, amount, past), *log_zscore(entity, p, amount, past), *gaps(entity, p, past)])
+
+
+def running_max_ratio(df: DataFrame, value: str, name: str, block_rows: int | None = None) -> DataFrame:
+    """value over the largest earlier value of the table; the first row takes the second row's maximum, its own value."""
+    top = State("max", value)
+    held = prior_states(df, {"_table": (text_key(), [top])}, block_rows)
+    return held.select(*df.columns, (dbl(value) / F.nullif(dbl(F.coalesce(f"__table_{top.name}", value)), F.lit(0.0))).alias(name))
 
 
 def add(df: DataFrame, *families: list[Feature]) -> DataFrame:

@@ -15,8 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import text_or
-from ..plans.frames import ID, US
 from ..sources.scratch import stored
 
 #: Ranges, and values sampled to find their edges.
@@ -68,28 +66,3 @@ def placed(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str
     before = parts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)], part == F.col("_part"))
     return held.join(before, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
-
-
-def prior_by_keys(df: DataFrame, keys: Mapping[str, tuple[str, str]], bucket: int, whole: str | None = None) -> DataFrame:
-    """For keys of few values, each with millions of rows: {name}_n and {name}_s, the number of earlier rows with this row's value and the sum of their _cents.
-
-    keys: name -> (column, text for a missing value). whole: a name for the same over all rows. Time is cut into buckets;
-    windows run inside (bucket, value), all behind one exchange by bucket. What earlier buckets add up to enters as one
-    row a value at the head of each bucket that has the value.
-    """
-    names = {n: text_or(c, missing) for n, (c, missing) in keys.items()} | ({whole: F.lit("")} if whole else {})
-    b = F.floor(F.col(US) / F.lit(bucket))
-    held = df.withColumns({f"_v_{n}": v for n, v in names.items()} | {"_b": b, "_head": F.lit(0)})
-    rows = held.withColumns({f"_{m}_{n}": F.lit(1).cast("long") if m == "n" else F.col("_cents") for n in names for m in "ns"})
-    long = held.select("_b", "_cents", F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"_v_{n}").alias("v")) for n in names])).alias("x")).select("_b", "_cents", "x.k", "x.v")
-    totals = long.groupBy("k", "v", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_cents").alias("_s"))
-    before = Window.partitionBy("k", "v").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
-    heads = totals.select("k", "v", "_b", *[F.sum(f"_{m}").over(before).alias(f"_{m}") for m in "ns"]).where("_n is not null")
-    own = lambda n, c: F.when(F.col("k") == n, F.col(c))
-    heads = heads.select("_b", F.lit(1).alias("_head"), *[own(n, "v").alias(f"_v_{n}") for n in names], *[own(n, f"_{m}").alias(f"_{m}_{n}") for n in names for m in "ns"])
-    rows = rows.unionByName(heads, allowMissingColumns=True)
-    out = {}
-    for n in names:
-        w = Window.partitionBy("_b", f"_v_{n}").orderBy(F.desc("_head"), US, ID).rowsBetween(Window.unboundedPreceding, -1)
-        out |= {f"{n}_{m}": F.coalesce(F.sum(f"_{m}_{n}").over(w), F.lit(0)) for m in "ns"}
-    return rows.repartition("_b").select(*df.columns, "_head", *[c.alias(k) for k, c in out.items()]).where("_head = 0").drop("_head")

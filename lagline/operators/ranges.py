@@ -11,7 +11,7 @@ from ..functions.scalar import DAY, HOUR, MINUTE, dbl, money, over_eps, seconds,
 from ..plans.frames import US, backward_sum, forward_sum, ordered, prior, total, trailing
 from ..plans.spec import Direction, Feature, plan
 from .history import whole
-from .ordered import prior_by_keys
+from .scan import prior_by_keys
 
 
 def span_name(us: int) -> str:
@@ -87,10 +87,10 @@ def context(place: str, category: str, amount: str = "amount") -> list[Feature]:
     return [*out, Feature("amt_vs_cat_mean_prior", over_eps(amount, mean(kind)), stage=2), Feature("loc_amt_ratio", over_eps(amount, mean(at)), stage=3)]
 
 
-def context_by_buckets(df: DataFrame, place: str, category: str, bucket: int, amount: str = "amount") -> DataFrame:
-    """What context() gives, for places and categories that hold many rows each: windows inside buckets of time, and what earlier buckets add up to."""
+def context_by_blocks(df: DataFrame, place: str, category: str, amount: str = "amount", block_rows: int | None = None) -> DataFrame:
+    """What context() gives, for places and categories that hold many rows each: windows inside blocks, and what earlier blocks add up to."""
     keys = {"_loc": (place, "__unknown__"), "_cat": (category, "__unknown__")}
-    held = prior_by_keys(plan(df, [whole(amount)]), keys, bucket)
+    held = prior_by_keys(plan(df, [whole(amount)]), keys, block_rows=block_rows)
     mean = lambda k: money(F.col(f"{k}_s")) / dbl(F.nullif(F.col(f"{k}_n"), F.lit(0)))
     held = held.select("*", over_eps(amount, mean("_cat")).alias("amt_vs_cat_mean_prior"), over_eps(amount, mean("_loc")).alias("loc_amt_ratio"), text_or(place, "__unknown__").alias("_place"))
     widths = {1: HOUR, 24: DAY}

@@ -102,7 +102,7 @@ a AS (SELECT transaction_id, amount::DOUBLE AS amount, count(*) OVER {R("place",
   WINDOW c AS (PARTITION BY cat ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p AS (PARTITION BY place ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT transaction_id, c1 AS loc_cnt_1h, s1 AS loc_amtsum_1h, c24 AS loc_cnt_24h, s24 AS loc_amtsum_24h, round(amount / (mc + 1e-6), 6) AS amt_vs_cat_mean_prior, round(amount / (mp + 1e-6), 6) AS loc_amt_ratio FROM a""")
 def w28(spark, d):
-    df = r.context_by_buckets(lineitem_fact(spark, d).select("transaction_id", "us", "location", "merchant_category", "amount"), "location", "merchant_category", 180 * DAY)
+    df = r.context_by_blocks(lineitem_fact(spark, d).select("transaction_id", "us", "location", "merchant_category", "amount"), "location", "merchant_category")
     return df.select("transaction_id", "loc_cnt_1h", "loc_amtsum_1h", "loc_cnt_24h", "loc_amtsum_24h", *[F.round(c, 6).alias(c) for c in ("amt_vs_cat_mean_prior", "loc_amt_ratio")])
 
 

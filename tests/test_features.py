@@ -177,7 +177,7 @@ def test_brute_force_windows(spark):
 def test_bucketed_forms_equal_plain_ones(spark):
     _, df = random_fact(spark, random.Random(8), 200)
     plain = by_id(h.add(df, h.expanding("customer_id", "c"), r.trailing_ladder("customer_id", "t", [2 * HOUR])))
-    buckets = by_id(h.expanding_sums_in_buckets(df, "customer_id", "c", bucket=HOUR))
+    buckets = by_id(h.expanding_in_blocks(df, "customer_id", "c", block_rows=16))
     halo = by_id(r.trailing_with_halo(df, "customer_id", 2 * HOUR, {"n": r.count}))
     for t, row in plain.items():
         assert (row["c_history_count"], row["c_amt_sum_prior"]) == (buckets[t]["c_history_count"], buckets[t]["c_amt_sum_prior"])
