@@ -37,8 +37,16 @@ def trailing_ladder(entity: str, p: str, widths: list[int], amount: str = "amoun
     return [*out, Feature(f"{p}_burst_cnt_ratio", burst("cnt"), stage=1), Feature(f"{p}_burst_amt_ratio", burst("amtsum"), stage=1)]
 
 
-def recent(entity: str, p: str, widths: list[int], amount: str = "amount") -> list[Feature]:
-    """Short windows: count and sum (empty: 0), amount against the window's mean and maximum (empty: null)."""
+def recent_tops(p: str, widths: list[int]) -> dict[str, int]:
+    """The columns that recent() takes the windows' maxima from, in hundredths: name -> width."""
+    return {f"_{p}_most_{span_name(w)}": w for w in widths}
+
+
+def recent(entity: str, p: str, widths: list[int], amount: str = "amount", held_tops: bool = False) -> list[Feature]:
+    """Short windows: count and sum (empty: 0), amount against the window's mean and maximum (empty: null).
+
+    held_tops: maxima come from the columns of recent_tops(), which cost the same whatever the width; else from window functions.
+    """
     out = [whole(amount)]
     for w in widths:
         s = span_name(w)
@@ -46,7 +54,7 @@ def recent(entity: str, p: str, widths: list[int], amount: str = "amount") -> li
         out += [
             Feature(f"{p}_cnt_{s}", total(count, entity, -w, -1).cast("long")),
             Feature(f"{p}_amtsum_{s}", money(total(amounts, entity, -w, -1))),
-            Feature(f"_{p}_top_{s}", money(F.max("_cents").over(trailing(entity, w)))),
+            Feature(f"_{p}_top_{s}", money(F.col(f"_{p}_most_{s}") if held_tops else F.max("_cents").over(trailing(entity, w)))),
             Feature(f"{p}_amt_vs_recent_mean_{s}", over_eps(amount, held / dbl(F.nullif(n, F.lit(0)))), stage=1),
             Feature(f"{p}_amt_vs_recent_max_{s}", over_eps(amount, F.col(f"_{p}_top_{s}")), stage=1),
         ]
