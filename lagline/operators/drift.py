@@ -4,39 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DAY, dbl
 from ..plans.frames import ID, US
-from .ordered import running
+from .ordered import in_ranges, quantile_values, quantiles, running
+from .sorted_groups import count_below, group_starts, whole_groups
 
 
 def local_percentile(df: DataFrame, value: str, name: str, days: int = 14) -> DataFrame:
     """Share of the values of the previous `days` observed days that are strictly below this one.
 
-    Days are counted as they occur, not by the calendar; the first day and null
-    values give null. Each distinct value of a day is one weighted reference for the
-    next `days` observed days. A day's values are cut into ranges, so neither a day
-    nor a value that many rows have is one task's work.
+    Days are counted as they occur, not by the calendar; the first day and null values give null. Each distinct value of a
+    day is one weighted point. "Smaller and of the last days" is dominance in two dimensions: points are cut into ranges of
+    values, and a range gets one row a day that stands for all smaller ranges. So a point is written once, whatever `days`
+    is, and neither a day nor a value that many rows have is one task's work.
     """
     day = F.floor(F.col(US) / F.lit(DAY))
     observed = df.select(day.alias("_day")).distinct()
     numbered = observed.withColumn("_d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_day")))  # one row a day
     held = df.withColumn("_day", day).join(numbered, "_day").select(F.col(ID).alias("_id"), dbl(value).alias("_v"), "_d")
     # rows without a value can neither have a percentile nor be a reference
-    values = held.where("_v is not null").groupBy("_d", "_v").agg(F.count(F.lit(1)).alias("_w"))
-    refs = values.withColumn("_d", F.explode(F.sequence(F.col("_d") + 1, F.col("_d") + days)))
-    points = refs.unionByName(values.withColumn("_w", F.lit(0).cast("long"))).groupBy("_d", "_v").agg(F.sum("_w").alias("_w"))
-    total = refs.groupBy("_d").agg(F.sum("_w").alias("_all"))
-    below = running(points, ["_d"], ["_v"], {"_below": "_w"}).join(total, "_d")
+    points = in_ranges(held.where("_v is not null").groupBy("_d", "_v").agg(F.count(F.lit(1)).alias("_w")), [], ["_v"])  # equal values share a range
+    totals = points.groupBy("_range", "_d").agg(F.sum("_w").alias("_w"))
+    ranges = points.select("_range").distinct()
+    each = totals.groupBy("_d").agg(F.sum("_w").alias("_all"))
+    grid = ranges.join(F.broadcast(each.select("_d")), F.lit(True)).join(totals, ["_range", "_d"], "left")  # a row a range and day
+    before = Window.partitionBy("_d").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = grid.select("_range", "_d", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w"), F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_head"))
+
+    def answer(rows: pa.Table, group: np.ndarray) -> pa.Table:
+        code = rows.column("_d").to_numpy().astype(np.int64)
+        weight, head = rows.column("_w").to_numpy(), rows.column("_head").to_numpy(zero_copy_only=False).astype(bool)
+        v = rows.column("_v").to_numpy(zero_copy_only=False)
+        start = group_starts(group)
+        same = np.concatenate(([False], (v[1:] == v[:-1]) & (start[1:] == start[:-1])))
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(v))))  # the first row of the value
+        below = [count_below(code, start, first, np.maximum(c, 0), weight) for c in (code - days, code)]
+        return rows.append_column("_below", pa.array(below[1] - below[0])).filter(pa.array(~head)).select(["_d", "_v", "_below"])
+
+    rows = points.withColumn("_head", F.lit(False)).unionByName(heads)
+    below = whole_groups(rows, ["_range"], [F.desc("_head"), "_v", "_d"], answer, "_d int, _v double, _below long")
+    last = Window.partitionBy(F.lit(0)).orderBy("_d").rowsBetween(-days, -1)  # one row a day
+    below = below.join(F.broadcast(each.select("_d", F.sum("_all").over(last).alias("_all"))), "_d")
     shares = held.join(below, ["_d", "_v"]).select("_id", (dbl("_below") / F.nullif(dbl("_all"), F.lit(0.0))).alias(name))
     return df.join(shares, F.col(ID) == F.col("_id"), "left").drop("_id")
 
 
 def _edges(values: DataFrame, key: str, value: str, bins: int) -> DataFrame:
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    return values.groupBy(key).agg(F.array_distinct(F.percentile(dbl(value), shares)).alias("edges"), F.count(value).alias("n"))
+    found = quantiles(values, [key], value, [k / bins for k in range(bins + 1)])
+    return found.select(key, F.array_distinct("quantiles").alias("edges"), "n")
 
 
 def stability_index(early: DataFrame, late: DataFrame, columns: Sequence[str], bins: int = 10, open_ends: bool = True) -> DataFrame:
@@ -92,6 +112,6 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.round(F.corr("_ra", "_rb"), 9).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-def quantile_cut(df: DataFrame, value: str, share: float) -> Column | float:
+def quantile_cut(df: DataFrame, value: str, share: float) -> float | None:
     """The exact quantile of a column, as a number."""
-    return df.agg(F.percentile(dbl(value), F.lit(share)).alias("q")).first().q
+    return quantile_values(df, value, [share])[0]

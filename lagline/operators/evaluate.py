@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import DAY, dbl
 from ..plans.frames import ID, US
-from .ordered import running
+from .ordered import quantile_values, running
 
 #: Columns that only group, order or label; never inputs of a model.
 ROLES = {ID, US, "timestamp", "customer_id", "merchant_id", "device_id", "label", "fraud", "is_test"}
@@ -146,8 +146,8 @@ def soft_labels(train: DataFrame, unlabelled: DataFrame, scores: DataFrame, labe
 
 def hard_labels(train: DataFrame, unlabelled: DataFrame, scores: DataFrame, label: str = "label", top: float = 0.02, weight: float = 1.0) -> DataFrame:
     """Hard pseudo labels: 1 for scores at or above the exact quantile 1 - top, else 0."""
-    cut = scores.agg(F.percentile("score", F.lit(1 - top)).alias("_cut"))
-    hard = unlabelled.join(scores, ID).join(F.broadcast(cut), F.lit(True)).withColumn(label, (F.col("score") >= F.col("_cut")).cast("int")).withColumn("weight", F.lit(weight)).drop("score", "_cut")  # one row
+    cut = quantile_values(scores, "score", [1 - top])[0]
+    hard = unlabelled.join(scores, ID).withColumn(label, (F.col("score") >= F.lit(cut)).cast("int")).withColumn("weight", F.lit(weight)).drop("score")
     return train.withColumn("weight", F.lit(1.0)).unionByName(hard, allowMissingColumns=True)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import dbl
 from ..plans.frames import ID
-from .ordered import running
+from .ordered import quantiles, running
 
 
 def _steps(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -83,8 +83,9 @@ def univariate(df: DataFrame, columns: Sequence[str], period: str, label: str =
     A column that is constant in a period gets null.
     """
     if missing == "median":
-        medians = df.agg(*[F.percentile(dbl(c), F.lit(0.5)).alias(c) for c in columns]).first()  # one row
-        fill = {c: medians[c] for c in columns}
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), dbl(c).alias("v")) for c in columns])).alias("x")
+        found = quantiles(df.select(each).select("x.feature", "x.v"), ["feature"], "v", [0.5]).collect()  # a row a column
+        fill = dict.fromkeys(columns) | {r.feature: r.quantiles[0] for r in found}
     else:
         fill = dict.fromkeys(columns, 0.0)
     values = [F.struct(F.lit(c).alias("feature"), F.coalesce(dbl(c), F.lit(fill[c]).cast("double")).alias("v")) for c in columns]

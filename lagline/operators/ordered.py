@@ -1,10 +1,11 @@
-"""Running sums over an order, without sorting a table in one task.
+"""Running sums, places and quantiles over an order, without sorting a table in one task.
 
-Values are cut into ranges at a few hundred edges. Sums run inside a range, which
-is a window partition of its own, and the ranges' totals, one row each, are summed
-up and joined back. Edges come from a bounded sample, so they only decide how even
-the ranges are, never a result; a value that a third of the rows have is counted
-into one row by the callers before it gets here.
+Rows are cut into ranges of the order by Spark's range partitioning, as many as the
+session has shuffle partitions, and written once with the number of their range.
+Sums run inside a range, which is a window partition of its own, and the ranges'
+totals, one row each, are summed up and joined back. How rows fall into ranges only
+decides how even the work is, never a result; a value that a third of the rows have
+is counted into one row by the callers before it gets here.
 """
 
 from __future__ import annotations
@@ -15,29 +16,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import dbl
 from ..sources.scratch import stored
 
-#: Ranges, and values sampled to find their edges.
-RANGES, SAMPLED = 128, 8192
 
-
-def edges(df: DataFrame, column: str, ranges: int = RANGES, sampled: int = SAMPLED) -> list:
-    """Values that cut the column into ranges of about equal numbers of rows, from the sampled rows of least hash."""
-    held = df.select(column).where(F.col(column).isNotNull())
-    found = sorted(r[0] for r in held.orderBy(F.xxhash64(column), column).limit(sampled).collect())  # sampled values
-    return sorted(set(found[len(found) * k // ranges] for k in range(1, ranges))) if found else []
-
-
-def range_of(column: str, cuts: list) -> Column:
-    """How many edges are at or below a value: a number that grows with it."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:
+    """df, written once, with _range: numbers of contiguous ranges of (by, order), in that order."""
+    lead = F.col(order[0]).desc() if descending else F.col(order[0]).asc()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *by, lead, *order[1:]).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str], descending: bool = False, cuts: list | None = None) -> DataFrame:
-    """Adds the sums (new name: column) over all rows of `by` that stand before a row in the order; the first column of the order is cut into ranges."""
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str], descending: bool = False) -> DataFrame:
+    """Adds the sums (new name: column) over all rows of `by` that stand before a row in the order; descending turns the first column of the order."""
     lead = order[0]
-    cuts = edges(df, lead) if cuts is None else cuts
-    held = df.withColumn("_range", -range_of(lead, cuts) if descending else range_of(lead, cuts))
+    held = in_ranges(df, by, order, descending)
     way = F.desc if descending else F.asc
     inside = Window.partitionBy(*by, "_range").orderBy(way(lead), *order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     totals = held.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
@@ -50,6 +43,31 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     return out.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """by, n (rows with a value) and quantiles, an array as long as shares: exact, linear between neighbours.
+
+    Different values are counted first; where a wanted place falls follows from running counts. A few rows a group come together.
+    """
+    points = df.where(F.col(value).isNotNull()).groupBy(*by, dbl(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    below = running(points, by, ["_v"], {"_below": "_n"})
+    whole = points.groupBy(*by).agg(F.sum("_n").alias("n")).select(*[F.col(b).alias(f"_q{i}") for i, b in enumerate(by)], "n")
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_q{i}")) for i, b in enumerate(by)], F.lit(True))
+    place = lambda q: F.lit(float(q)) * (F.col("n") - 1).cast("double")
+    ends = [F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), f(place(q)).cast("long").alias("at"), place(q).alias("place")) for k, q in enumerate(shares) for s, f in enumerate((F.floor, F.ceil))]
+    rows = below.join(whole, same) if by else below.join(F.broadcast(whole), same)
+    hit = F.explode(F.filter(F.array(*ends), lambda e: (e["at"] >= F.col("_below")) & (e["at"] < F.col("_below") + F.col("_n"))))
+    found = rows.select(*by, "n", "_v", hit.alias("e")).groupBy(*by, "n", "e.k").agg(F.max("e.place").alias("place"), *[F.max(F.when(F.col("e.s") == s, F.col("_v"))).alias(c) for s, c in enumerate(("low", "high"))])
+    under = F.floor("place")
+    exact = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((under + 1 - F.col("place")) * F.col("low") + (F.col("place") - under) * F.col("high"))
+    return found.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", exact.alias("v")))), lambda x: x["v"]).alias("quantiles"))
+
+
+def quantile_values(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """The quantiles of a whole column, as numbers."""
+    row = quantiles(df.select(value), [], value, shares).first()
+    return list(row.quantiles) if row else [None] * len(shares)
+
+
 def placed(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Adds the row's place in its group in the given order, gapless from 0; written once to the shared folder.
 

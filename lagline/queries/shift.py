@@ -37,10 +37,10 @@ ap AS (SELECT {lead}sum(round(p::DOUBLE / nullif(whole::DOUBLE, 0) * tp::DOUBLE
 
 
 @query("pct_time_local", f"""WITH {EVENTS}, d AS (SELECT transaction_id, amount::DOUBLE AS v, dense_rank() OVER (ORDER BY us // {DAY}) AS day FROM fact),
-c AS (SELECT x.transaction_id, count(y.v) AS refs, count(*) FILTER (WHERE y.v < x.v) AS below FROM d x LEFT JOIN d y ON y.day BETWEEN x.day - 3 AND x.day - 1 GROUP BY 1)
+c AS (SELECT x.transaction_id, count(y.v) AS refs, count(*) FILTER (WHERE y.v < x.v) AS below FROM d x LEFT JOIN d y ON y.day BETWEEN x.day - 14 AND x.day - 1 GROUP BY 1)
 SELECT transaction_id, round(below::DOUBLE / nullif(refs, 0)::DOUBLE, 9) AS amount_pct FROM c""")
 def pct(spark, d):
-    df = drift.local_percentile(events_fact(spark, d).select("transaction_id", "us", "amount"), "amount", "amount_pct", days=3)
+    df = drift.local_percentile(events_fact(spark, d).select("transaction_id", "us", "amount"), "amount", "amount_pct", days=14)
     return df.select("transaction_id", F.round("amount_pct", 9).alias("amount_pct"))
 
 
@@ -107,23 +107,30 @@ def m3(spark, d):
     return m.split_precision(df, (F.col("cust_history_count") >= 20).cast("int")).select("part", F.round("ap", 9).alias("ap"), "n", "positives")
 
 
-def univariate_sql(fill: str) -> str:
-    return f"""WITH {EVENTS}, l AS (SELECT (us >= {HALF})::INTEGER AS period, label, 'amount' AS feature, coalesce(amount::DOUBLE, {fill}) AS v FROM fact UNION ALL SELECT (us >= {HALF})::INTEGER, label, 'device_id', coalesce(device_id::DOUBLE, {fill}) FROM fact),
+GAPS = {"amount": "CASE WHEN transaction_id % 7 = 0 THEN NULL ELSE amount::DOUBLE END", "device_id": "CASE WHEN transaction_id % 5 < 2 THEN NULL ELSE device_id::DOUBLE END"}
+
+
+def univariate_sql(median: bool) -> str:
+    """A seventh and two fifths of the values are missing."""
+    fill = lambda c: f"(SELECT quantile_cont({GAPS[c]}, 0.5) FROM fact)" if median else "0"
+    rows = " UNION ALL ".join(f"SELECT (us >= {HALF})::INTEGER AS period, label, '{c}' AS feature, coalesce({v}, {fill(c)}) AS v FROM fact" for c, v in GAPS.items())
+    return f"""WITH {EVENTS}, l AS ({rows}),
 s AS (SELECT period, feature, sign::INTEGER AS sign, label, v * sign AS score FROM l, (SELECT unnest([1, -1]) AS sign)), {AP('period, feature, sign')}, w AS (SELECT period, feature, min(v) < max(v) AS varies FROM l GROUP BY 1, 2)
 SELECT period, feature, sign, CASE WHEN varies THEN round(ap, 9) END AS ap, positives FROM ap JOIN w USING (period, feature)"""
 
 
 def univariate(spark, d, missing):
     df = events_fact(spark, d).withColumn("period", (F.col("us") >= HALF).cast("int"))
+    df = df.withColumn("amount", F.when(F.col("transaction_id") % 7 != 0, F.col("amount").cast("double"))).withColumn("device_id", F.when(F.col("transaction_id") % 5 >= 2, F.col("device_id")))
     return m.univariate(df, ["amount", "device_id"], "period", missing=missing).withColumn("ap", F.round("ap", 9))
 
 
-@query("m4_univariate_median", univariate_sql("0"))
+@query("m4_univariate_median", univariate_sql(True))
 def m4(spark, d):
     return univariate(spark, d, "median")
 
 
-@query("m4b_univariate_zero", univariate_sql("0"))
+@query("m4b_univariate_zero", univariate_sql(False))
 def m4b(spark, d):
     return univariate(spark, d, "zero")
 
@@ -191,7 +198,8 @@ def ag6(spark, d):
 def ag7(spark, d):
     fact = events_fact(spark, d).select(F.col("amount").cast("double").alias("v"))
     cut = drift.quantile_cut(fact, "v", 0.98)
-    return fact.agg(*[F.round(F.percentile("v", F.lit(q)), 9).alias(n) for q, n in ((0.1, "q10"), (0.5, "q50"), (0.98, "q98"))], F.count_if(F.col("v") >= cut).alias("top_rows"))
+    values = drift.quantile_values(fact, "v", [0.1, 0.5, 0.98])
+    return fact.agg(*[F.round(F.lit(v), 9).alias(n) for v, n in zip(values, ("q10", "q50", "q98"), strict=True)], F.count_if(F.col("v") >= cut).alias("top_rows"))
 
 
 @query("ag10_fold_summary", f"""WITH {EVENTS}, f AS (SELECT transaction_type AS arm, us // {7 * DAY} AS week, sum(label)::DOUBLE / count(*)::DOUBLE AS rate FROM fact GROUP BY 1, 2)
