@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import DAY, dbl
 from ..plans.frames import ID, US
+from ..sources.scratch import stored
 from .ordered import in_ranges, quantile_values, quantiles, running
 from .sorted_groups import count_below, group_starts, whole_groups
 
@@ -69,7 +70,7 @@ def stability_index(early: DataFrame, late: DataFrame, columns: Sequence[str], b
     long = lambda d: d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), dbl(c).alias("v")) for c in columns])).alias("x")).select("x.feature", "x.v").where("v is not null")
     least, other = (100, F.lit(0.0)) if open_ends else (10, F.lit(None).cast("double"))
     a, b = long(early), long(late)
-    edges = _edges(a, "feature", "v", bins)  # one row a column
+    edges = stored(_edges(a, "feature", "v", bins), "edges")  # one row a column
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     bin_ = F.size(F.filter(inner, lambda e: e <= F.col("v")))
     top = F.element_at("edges", -1)

@@ -50,7 +50,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[flo
     """
     points = df.where(F.col(value).isNotNull()).groupBy(*by, dbl(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     below = running(points, by, ["_v"], {"_below": "_n"})
-    whole = points.groupBy(*by).agg(F.sum("_n").alias("n")).select(*[F.col(b).alias(f"_q{i}") for i, b in enumerate(by)], "n")
+    whole = below.groupBy(*by).agg(F.sum("_n").alias("n")).select(*[F.col(b).alias(f"_q{i}") for i, b in enumerate(by)], "n")
     same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_q{i}")) for i, b in enumerate(by)], F.lit(True))
     place = lambda q: F.lit(float(q)) * (F.col("n") - 1).cast("double")
     ends = [F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), f(place(q)).cast("long").alias("at"), place(q).alias("place")) for k, q in enumerate(shares) for s, f in enumerate((F.floor, F.ceil))]
