@@ -7,6 +7,7 @@ window and stretched for the refit, seeds averaged, specialists, stacking on sco
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -16,19 +17,26 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frames import ID
 from ..sources.scratch import discard, stored
 from .evaluate import Fold, blend_scores, clip
 from .metrics import average_precision, roc_auc
+from .ordered import quantile_values
 from .propagate import stack_features
 
 
 @dataclass(frozen=True)
 class Spec:
-    """kind: gbt, linear or mlp. rounds: trees, or iterations. patience: how little better the validation loss may get."""
+    """kind: gbt, linear or mlp; goss or dart: own boosting, of sampled rows or with dropped trees. rounds: trees, or iterations.
+
+    stop: what later rows end the trees by, their loss (patience: how little better it may get) or average precision.
+    top, other: shares of rows by size of gradient that goss keeps, and draws from the rest. drop: chance of a tree to be
+    left out of a round of dart.
+    """
 
     kind: str = "gbt"
     rounds: int = 20
@@ -40,6 +48,14 @@ class Spec:
     patience: float = 1e-3
     hidden: tuple[int, ...] = (32, 16)
     clip: float = 5.0
+    stop: str = "loss"
+    top: float = 0.2
+    other: float = 0.2
+    drop: float = 0.2
+
+    @property
+    def trees(self) -> bool:
+        return self.kind in ("gbt", "goss", "dart")
 
 
 class AveragePrecision(Evaluator):
@@ -77,13 +93,86 @@ def matrix(df: DataFrame, columns: Sequence[str], spec: Spec) -> Pipeline:
     if numbers:
         stages.append(Imputer(strategy="median", inputCols=[f"{c}__n" for c in numbers], outputCols=[f"{c}__m" for c in numbers]))
     raw = [*(f"{c}__{'h' if spec.one_hot else 'i'}" for c in text), *(f"{c}__m" for c in numbers), *(f"{c}__gone" for c in numbers)]
-    scaled = spec.kind != "gbt"
+    scaled = not spec.trees
     stages.append(VectorAssembler(inputCols=raw, outputCol="raw" if scaled else "features"))
     if scaled:
         stages.append(StandardScaler(inputCol="raw", outputCol="scaled", withMean=True))
     return Pipeline(stages=stages)
 
 
+@dataclass
+class Boosted:
+    """Regression trees and their weights; a margin is the weighted sum of what they predict."""
+
+    trees: list
+    weights: list[float]
+
+    def predictions(self, rows: DataFrame) -> DataFrame:
+        """Adds _p: what each tree predicts, in order."""
+        held = rows
+        for k, t in enumerate(self.trees):
+            held = t.copy().setPredictionCol(f"_tree{k}").transform(held)
+        parts = F.array(*[F.col(f"_tree{k}") for k in range(len(self.trees))]) if self.trees else F.array().cast("array<double>")
+        return held.withColumn("_p", parts).drop(*[f"_tree{k}" for k in range(len(self.trees))])
+
+    def margin(self, without: Sequence[int] = ()) -> Column:
+        parts = [F.lit(w) * F.element_at("_p", k + 1) for k, w in enumerate(self.weights) if k not in without]
+        return reduce(Column.__add__, parts, F.lit(0.0))
+
+    def probability(self) -> Column:
+        return 1 / (1 + F.exp(-2 * self.margin()))
+
+    def staged(self) -> Column:
+        """The margins after the first tree, the first two, and so on."""
+        weighed = F.zip_with("_p", F.array(*[F.lit(float(w)) for w in self.weights]), lambda p, w: p * w)
+        return F.aggregate(weighed, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+
+
+def staged_precision(model: Boosted, rows: DataFrame, label: str = "_y") -> DataFrame:
+    """rounds, ap: average precision after every number of trees. All trees score the rows in one pass, and all rounds are one grouped scan."""
+    stages = model.predictions(rows).select(F.col(label).cast("int").alias("label"), F.posexplode(model.staged()).alias("_round", "score"))
+    held = average_precision(stages.select("label", (F.col("_round") + 1).alias("rounds"), "score"), by=["rounds"])
+    return held.select("rounds", "ap")
+
+
+def best_rounds(model: Boosted, rows: DataFrame, label: str = "_y") -> int:
+    """The fewest trees that reach the best average precision of the rows."""
+    best = staged_precision(model, rows, label).where("ap is not null").orderBy(F.desc("ap"), "rounds").first()
+    return best.rounds if best else len(model.trees)
+
+
+def boosted(rows: DataFrame, spec: Spec) -> Boosted:
+    """Boosting of logistic loss over regression trees, a written table a round: rows have features, _y and _key.
+
+    goss: rows of the largest gradients, and of the rest a share drawn by a hash of _key, seed and round, with the weight
+    that makes up for the others. dart: every tree is left out of a round with a chance drawn from the seed; the new tree
+    and those left out are scaled so that together they weigh what those left out did.
+    """
+    model, draw = Boosted([], []), random.Random(spec.seed)
+    held = stored(rows.withColumn("_p", F.array().cast("array<double>")), "boost")
+    for k in range(spec.rounds):
+        gone = [j for j in range(k) if draw.random() < spec.drop] if spec.kind == "dart" else []
+        slope = F.col("_y") - 1 / (1 + F.exp(-2 * model.margin(gone)))
+        now = held.select("features", "_key", (2 * slope).alias("_g")).withColumn("_w", F.lit(1.0))
+        if spec.kind == "goss":
+            now = now.withColumn("_size", F.abs("_g"))
+            cut = quantile_values(now, "_size", [1 - spec.top])[0]
+            u = F.pmod(F.xxhash64("_key", F.lit(spec.seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+            large = F.col("_size") >= F.lit(cut)
+            now = now.where(large | (u < spec.other / (1 - spec.top))).withColumn("_w", F.when(large, 1.0).otherwise((1 - spec.top) / spec.other))
+        tree = DecisionTreeRegressor(featuresCol="features", labelCol="_g", weightCol="_w", maxDepth=spec.depth, maxBins=64, seed=spec.seed).fit(now)
+        share = 1 / (len(gone) + 1)
+        for j in gone:
+            model.weights[j] *= len(gone) * share
+        model.trees.append(tree)
+        model.weights.append(spec.rate * share if gone else spec.rate)
+        before = held
+        held = stored(tree.copy().setPredictionCol("_now").transform(before).withColumn("_p", F.concat("_p", F.array("_now"))).drop("_now"), "boost")
+        discard(before)
+    discard(held)
+    return model
+
+
 @dataclass
 class Fitted:
     columns: list[str]
@@ -94,12 +183,14 @@ class Fitted:
     @property
     def rounds(self) -> int:
         """Trees that early stopping left, or the iterations asked for."""
-        return self.model.getNumTrees if self.spec.kind == "gbt" else self.spec.rounds
+        return len(self.model.trees) if self.spec.trees else self.spec.rounds
 
     def score(self, rows: DataFrame) -> DataFrame:
         """transaction_id and score of each row."""
-        held = self.model.transform(_vectors(self.inputs, rows, self.columns, self.spec))
-        return held.select(ID, vector_to_array("probability")[1].alias("score"))
+        held = _vectors(self.inputs, rows, self.columns, self.spec)
+        if isinstance(self.model, Boosted):
+            return self.model.predictions(held.select(ID, "features")).select(ID, self.model.probability().alias("score"))
+        return self.model.transform(held).select(ID, vector_to_array("probability")[1].alias("score"))
 
     def importance(self, rows: DataFrame) -> DataFrame:
         """feature, gain: what the trees gained by each column, its codes and its missing flag together. A row a column."""
@@ -113,7 +204,7 @@ class Fitted:
 
 def _vectors(inputs: PipelineModel, rows: DataFrame, columns: Sequence[str], spec: Spec) -> DataFrame:
     held = inputs.transform(prepared(rows, columns))
-    if spec.kind == "gbt":
+    if spec.trees:
         return held
     return held.withColumn("features", array_to_vector(F.transform(vector_to_array("scaled"), lambda c: clip(c, -spec.clip, spec.clip))))
 
@@ -122,26 +213,34 @@ def fit(train: DataFrame, columns: Sequence[str], spec: Spec = Spec(), valid: Da
     """valid: later rows on which trees stop growing in number. prepare_on: the rows that codes, medians and scales are taken from (default: train)."""
     columns = list(columns)
     known = train.where(F.col(label).isNotNull())
-    early = spec.kind == "gbt" and valid is not None
+    early = spec.trees and valid is not None
     if early:
         known = known.withColumn("_later", F.lit(False)).unionByName(valid.where(F.col(label).isNotNull()).withColumn("_later", F.lit(True)), allowMissingColumns=True)
         if spec.weight:
             known = known.withColumn(spec.weight, F.coalesce(spec.weight, F.lit(1.0)))
     base = train if prepare_on is None else prepare_on
     inputs = matrix(train, columns, spec).fit(prepared(base, columns))
-    rows = _vectors(inputs, known, columns, spec).select("features", F.col(label).cast("double").alias("_y"), *(["_later"] if early else []), *([spec.weight] if spec.weight else []))
+    rows = _vectors(inputs, known, columns, spec).select("features", F.col(label).cast("double").alias("_y"), F.col(ID).alias("_key"), *(["_later"] if early else []), *([spec.weight] if spec.weight else []))
     rows = stored(rows, "matrix")  # read once a round
     common = {"labelCol": "_y", "featuresCol": "features"} | ({"weightCol": spec.weight} if spec.weight and spec.kind != "mlp" else {})
-    if spec.kind == "gbt":
-        model = GBTClassifier(maxIter=spec.rounds, maxDepth=spec.depth, stepSize=spec.rate, seed=spec.seed, maxBins=64, validationTol=spec.patience, **common, **({"validationIndicatorCol": "_later"} if early else {}))
+    by_precision = early and (spec.stop == "precision" or spec.kind != "gbt")
+    if spec.kind in ("goss", "dart"):
+        model = boosted(rows.where("not _later") if early else rows, spec)
+    elif spec.kind == "gbt":
+        model = GBTClassifier(maxIter=spec.rounds, maxDepth=spec.depth, stepSize=spec.rate, seed=spec.seed, maxBins=64, validationTol=spec.patience, **common, **({"validationIndicatorCol": "_later"} if early and not by_precision else {}))
     elif spec.kind == "linear":
         model = LogisticRegression(maxIter=spec.rounds, regParam=0.01, **common)
     else:
         width = rows.select(F.size(vector_to_array("features"))).first()[0]
         model = MultilayerPerceptronClassifier(maxIter=spec.rounds, layers=[width, *spec.hidden, 2], seed=spec.seed, **common)
-    out = Fitted(columns, inputs, model.fit(rows), spec)
+    if not isinstance(model, Boosted):
+        model = model.fit(rows.where("not _later") if by_precision else rows)
+    if by_precision:
+        whole = model if isinstance(model, Boosted) else Boosted(list(model.trees), list(model.treeWeights))
+        keep = best_rounds(whole, rows.where("_later"))
+        model = Boosted(whole.trees[:keep], whole.weights[:keep])
     discard(rows)
-    return out
+    return Fitted(columns, inputs, model, spec)
 
 
 def top_features(importance: DataFrame, k: int) -> list[str]:

@@ -165,7 +165,7 @@ def ml8(spark, d):
     folds = [ev.Fold("one", JAN + 17 * DAY, JAN + 24 * DAY), FOLD]
     arms = {"linear": ml.Spec("linear"), "weighted": ml.Spec("linear", weight="weight")}
     table = ml.grid(df, folds, [c for c in columns if c != "transaction_type"], arms)
-    one_hot = ml.fit(FOLD.train(df), columns, ml.Spec("linear", one_hot=True)).score(FOLD.validate(df))
+    one_hot = ml.fit(FOLD.train(df), columns, ml.Spec(rounds=5, one_hot=True)).score(FOLD.validate(df))
     plain = ml.fit(FOLD.train(df), columns, ml.Spec(rounds=5)).score(FOLD.validate(df))
     blends = ml.blend_grid(FOLD.validate(df), ev.blend_weights([0.9, 0.7, 0.5], plain, one_hot))
     return table.unionByName(blends.select(F.concat(F.lit("blend "), F.col("weight")).alias("arm"), F.lit("last").alias("window"), "metric"))
@@ -177,3 +177,32 @@ def m5(spark, d):
     df, columns = inputs(spark, d)
     auc, gains = ml.adversarial(df.where(F.col("us") < FOLD.start), df.where(F.col("us") >= FOLD.start), columns, ev.stratified_split, ml.Spec(rounds=5))
     return a.importance_shares(gains).join(auc.select("auc"), how="cross")  # one row
+
+
+@query("ml8_tree_grid")
+def ml8_trees(spark, d):
+    """Trees over two windows in time: plain, stopped by average precision, of sampled rows, with dropped trees."""
+    df, columns = inputs(spark, d)
+    folds = [ev.Fold("one", JAN + 17 * DAY, JAN + 24 * DAY), FOLD]
+    arms = {"depth 2": ml.Spec(rounds=5, depth=2), "depth 4": ml.Spec(rounds=5), "goss": ml.Spec("goss", rounds=5, depth=3, rate=0.3), "dart": ml.Spec("dart", rounds=5, depth=3, rate=0.3)}
+    return ml.grid(df, folds, columns, arms)
+
+
+STORED_DAYS = (JAN + 5 * DAY, JAN + 7 * DAY)
+
+
+@query("src3_snk1_entity_store", f"""WITH {EVENTS}, c AS (SELECT *, CASE WHEN us >= {STORED_DAYS[0]} AND us < {STORED_DAYS[1]} THEN 2 ELSE 1 END * round(amount::DOUBLE * 100.0)::BIGINT AS cents FROM fact)
+SELECT transaction_id, count(*) OVER w AS cust_history_count, coalesce(sum(cents) OVER w, 0)::DOUBLE / 100.0 AS cust_amt_sum_prior FROM c WINDOW w AS (PARTITION BY customer_id ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def src3(spark, d):
+    """A table in buckets of the customer, two days of it written anew with doubled amounts, and windows that need no exchange over it."""
+    import uuid
+
+    from ..sources.io import read_by_entity, replace_days, save_by_entity
+
+    name = f"lagline_store_{uuid.uuid4().hex}"
+    fact = events_fact(spark, d).select("transaction_id", "us", "customer_id", F.col("amount").cast("decimal(18,2)").alias("amount"))
+    save_by_entity(fact, name, "customer_id", 8)
+    days = fact.where((F.col("us") >= STORED_DAYS[0]) & (F.col("us") < STORED_DAYS[1])).withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)"))
+    replace_days(days, name, "customer_id", 8)
+    out = add(read_by_entity(spark, name).drop("event_date"), expanding("customer_id", "cust"))
+    return out.select("transaction_id", "cust_history_count", "cust_amt_sum_prior")

@@ -1,4 +1,4 @@
-"""Readers and sinks: CSV with a declared schema, Parquet feature tables by day, ordered submissions."""
+"""Readers and sinks: CSV with a declared schema, Parquet feature tables by day, feature tables by entity, ordered submissions."""
 
 from __future__ import annotations
 
@@ -38,6 +38,28 @@ def write_features(df: DataFrame, path: str) -> None:
     df.withColumn("event_date", day).repartition("event_date").write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 
+def save_by_entity(df: DataFrame, table: str, entity: str, buckets: int) -> None:
+    """A table of the catalog, by event day and in buckets of an entity: windows by that entity then need no exchange, and single days can be replaced."""
+    held = df.withColumn("event_date", F.to_date(F.timestamp_micros("us"))).repartition(buckets, entity)  # a task writes its bucket of every day
+    held.write.mode("overwrite").format("parquet").partitionBy("event_date").bucketBy(buckets, entity).sortBy(entity, "us").saveAsTable(table)
+
+
+def replace_days(df: DataFrame, table: str, entity: str, buckets: int) -> None:
+    """Writes the days of df anew, whole; all other days of the table stay as they are."""
+    spark, name = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    held = df.withColumn("event_date", F.to_date(F.timestamp_micros("us"))).repartition(buckets, entity)
+    spark.conf.set(name, "dynamic")
+    try:
+        held.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(name, before)
+
+
+def read_by_entity(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
