@@ -94,7 +94,7 @@ def model_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def hashed_order(df: DataFrame, label: str, seed: int) -> DataFrame:
     """_place: a row's number, from 0, among rows of its label in the order of a hash of its id; _of: how many there are."""
-    held = df.withColumns({"_hash": F.xxhash64(F.lit(seed), ID), "_one": F.lit(1).cast("long")})
+    held = df.withColumns({"_hash": F.md5(F.concat(F.lit(f"{seed}:"), F.col(ID).cast("string"))), "_one": F.lit(1).cast("long")})  # md5: any engine can draw the same rows
     ranked = running(held, [label], ["_hash", ID], {"_place": "_one"})
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_of"))
     return ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label"))).drop("_hash", "_one", "_label")  # a row a label

@@ -106,11 +106,20 @@ def ml9(spark, d):
     return ev.hard_labels(fact.where(F.col("us") < FOLD.start).drop("score"), late.drop("score", "label"), late.select("transaction_id", "score"), weight=0.3).select("transaction_id", "label", "weight")
 
 
-@query("sa1_stratified_sample")
+DRAWN = "d AS (SELECT transaction_id, us, label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || transaction_id), transaction_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS size, count(*) OVER () AS n, sum(label) OVER () AS pos FROM fact)"
+
+
+@query("sa1_stratified_sample", f"""WITH {EVENTS}, {DRAWN}, w AS (SELECT *, least(pos, greatest(1, round_even(pos * 500 / n::DOUBLE, 0))) AS wanted FROM d)
+SELECT transaction_id, us, label FROM w WHERE place < CASE WHEN label = 1 THEN wanted ELSE 500 - wanted END""")
 def sa1(spark, d):
     return ev.stratified_sample(events_fact(spark, d).select("transaction_id", "us", "label"), 500)
 
 
+@query("sa2_stratified_split", f"WITH {EVENTS}, {DRAWN} SELECT transaction_id, us, label, place < round(size * 0.2) AS held_out FROM d")
+def sa2(spark, d):
+    return ev.stratified_split(events_fact(spark, d).select("transaction_id", "us", "label"), 0.2)
+
+
 def featured(spark, d):
     fact = events_fact(spark, d)
     return add(fact, expanding("customer_id", "cust"), expanding("device_id", "dev"), gaps("customer_id", "cust"), pair_novelty("customer_id", "device_id", "device"), trailing_ladder("device_id", "dev", [HOUR, 24 * HOUR]), recent("customer_id", "cust", [12 * HOUR]))
