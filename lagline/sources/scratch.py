@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset, a local session gets a folder in its warehouse; a cluster is refused."""
+    """spark.checkpoint.dir, or the checkpoint folder set on the context. Where neither is, a local session gets a folder in its warehouse; a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        path = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     return path.rstrip("/")
 
 
