@@ -2,15 +2,16 @@
 
 Words and word pairs are hashed to a fixed number of buckets. Two multinomials
 over the buckets are estimated: the raw corpus (every document) and the trusted
-target (documents labelled good, from a bounded sample of labelled rows). A
-document's score is the mean over its n-grams of log p_target - log p_raw; it
-is kept when that reaches a threshold which is fixed once, on the fifth of the
-labelled sample that the target was not estimated from (of several rows of one
-id the best score counts). There is no random draw:
-the same document always gets the same verdict.
+target (every document labelled good). A document's score is the mean over its
+n-grams of log p_target - log p_raw; it is kept when that reaches a threshold
+which is fixed once, on all labelled documents of the fifth that the target was
+not estimated from (of several rows of one id the best score counts). There is
+no random draw: the same document always gets the same verdict.
 
-Nothing but bucket counts (bounded by n_buckets) and the labelled sample
-(bounded by max_labels) leaves the executors; no text is shuffled.
+All labels count, and none passes through the driver: they are joined by id, to the
+texts for the target (Spark moves texts where labels are too many to broadcast) and
+to narrow rows of scores for the threshold, which comes from running counts over the
+order of scores. Only bucket counts (bounded by n_buckets) and one row leave the executors.
 
 Defined results: null and empty texts have zero counts and fail the base rules;
 texts of any length are counted whole (one may exceed a block); repeated rows
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LabelledSample, id_array, lean, youden_threshold
+from ..operators.ordered import running
+from .common import id_array, lean
 from .text import Words, blocks, covered, for_cut, group_counts, mix, per_doc, span_hashes, words_of
 
 SYMBOLS = np.zeros(256, bool)
@@ -40,7 +42,6 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 @dataclass(frozen=True)
 class QualityParams:
     n_buckets: int = 1 << 16
-    max_labels: int = 20_000
     min_words: int = 50
     max_repeat_percent: int = 50
     prior: float = 0.5
@@ -96,25 +97,46 @@ class QualityModel:
         return np.bincount(doc, self.llr[bucket], minlength=w.docs) / np.maximum(n, 1)
 
 
+def best_cut(scored: DataFrame) -> float:
+    """The cut c that makes "score >= c" separate y best (sensitivity + specificity): the middle of the gap there, the lowest of equally good ones; minus infinity where none is better than none.
+
+    scored: score, y (0 or 1). Equal scores are counted into one row, and running counts tell what lies below each.
+    """
+    points = scored.groupBy("score").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    below = running(points, [], ["score"], {"good_below": "good", "bad_below": "bad"})
+    whole = below.agg(F.sum("good").cast("double").alias("goods"), F.sum("bad").cast("double").alias("bads"))
+    gain = F.col("bad_below") / F.nullif("bads", F.lit(0.0)) - F.col("good_below") / F.nullif("goods", F.lit(0.0))
+    best = below.join(F.broadcast(whole), F.lit(True)).withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "score").select("score").first()  # one row
+    if best is None:
+        return -np.inf
+    under = points.where(F.col("score") < F.lit(best.score)).agg(F.max("score")).first()[0]
+    return (under + best.score) / 2
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
-    sample, size = LabelledSample(labels, "quality", params.max_labels), params.n_buckets
+    size = params.n_buckets
     docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).where("_id is not null and y is not null").groupBy("_id").agg(F.max("y").alias("y"))
 
-    def count(batches):
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in blocks(batches):
-            bucket, doc = gram_buckets(words_of(b.column("text")), size)
-            raw += np.bincount(bucket, minlength=size)
-            ids = id_array(b)[0]
-            trusted = (sample.lookup(ids) == 1) & ~for_cut(ids)
-            target += np.bincount(bucket[trusted[doc]], minlength=size)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+    def count(cut: bool):
+        """Counts grams; with cut, not those of the fifth that the threshold is chosen on."""
+
+        def grams(batches):
+            n = np.zeros(size, np.int64)
+            for b in blocks(batches):
+                if cut:
+                    b = b.filter(pa.array(~for_cut(id_array(b)[0])))
+                n += np.bincount(gram_buckets(words_of(b.column("text")), size)[0], minlength=size)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+        return grams
 
+    trusted = docs.join(known.where("y = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
     counts = np.zeros((2, size))
-    totals = docs.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    for bucket, raw, target in totals.collect():  # n_buckets rows at most
-        counts[:, bucket] = raw, target
+    for k, (rows, cut) in enumerate(((docs, False), (trusted, True))):
+        for bucket, n in rows.mapInArrow(count(cut), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # n_buckets rows at most
+            counts[k, bucket] = n
     prior = params.prior
     share = (counts + prior) / (counts.sum(1, keepdims=True) + prior * size)
     model = QualityModel(np.log(share[1]) - np.log(share[0]), -np.inf, params)
@@ -124,17 +146,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
 
     def score(batches):
         for b in blocks(batches):
-            ids = id_array(b)[0]
-            y = sample.lookup(ids)
-            rows = np.flatnonzero((y >= 0) & for_cut(ids))
+            ids, null = id_array(b)
+            rows = np.flatnonzero(~null & for_cut(ids))
             if len(rows):
                 w = words_of(b.column("text").take(pa.array(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(model.scores(w)), pa.array(y[rows].astype(np.int32)), pa.array(w.counts)], ["id", "score", "y", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(model.scores(w)), pa.array(w.counts)], ["id", "score", "n"])
 
-    scored = docs.mapInArrow(score, "id long, score double, y int, n long").where(f"n >= {params.min_words}")
-    scored = scored.groupBy("id", "y").agg(F.max("score").alias("score")).toPandas()  # one row a labelled id: max_labels bounds it, also where ids repeat
-    scored = scored.sort_values(["score", "y"])
-    model.threshold = youden_threshold(scored["score"].to_numpy(), scored["y"].to_numpy())
+    scored = docs.mapInArrow(score, "id long, score double, n long").where(f"n >= {params.min_words}").groupBy("id").agg(F.max("score").alias("score"))
+    model.threshold = best_cut(scored.join(known, F.col("id") == F.col("_id")).select("score", "y"))
     return model
 
 
