@@ -9,8 +9,7 @@ not estimated from (of several rows of one id the best score counts). There is
 no random draw: the same document always gets the same verdict.
 
 All labels count, and none passes through the driver: they are joined by id, to the
-texts for the target (Spark moves texts where labels are too many to broadcast) and
-to narrow rows of scores for the threshold, which comes from running counts over the
+texts for the target (moved once, at any size, as labels grow with them) and to narrow rows of scores for the threshold, which comes from running counts over the
 order of scores. Only bucket counts (bounded by n_buckets) and one row leave the executors.
 
 Defined results: null and empty texts have zero counts and fail the base rules;
@@ -132,7 +131,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
 
         return grams
 
-    trusted = docs.join(known.where("y = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
+    trusted = docs.join(known.where("y = 1").hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     counts = np.zeros((2, size))
     for k, (rows, cut) in enumerate(((docs, False), (trusted, True))):
         for bucket, n in rows.mapInArrow(count(cut), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # n_buckets rows at most
