@@ -71,3 +71,30 @@ def test_windows_over_an_entity_store_need_no_exchange(spark):
     assert got == {i: (now[i], sum(now[j] for j, u, e, _ in rows if e == c and u < us)) for i, us, c, _ in rows}
     pruned = held.where(F.col("event_date") == F.lit("1970-01-04").cast("date"))
     assert "PartitionFilters: [isnotnull(event_date" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["goss", "dart"])
+def test_rounds_write_no_table_each(rows, kind, monkeypatch):
+    """The features were written anew in every round; now only after WRITTEN rounds, with the same trees."""
+    held, made, spec = ml.matrix_rows(rows, ["x", "y", "kind"], ml.Spec()).rows, [], ml.Spec(kind, rounds=5, depth=2, rate=0.4, drop=0.5)
+    keep = ml.stored
+    monkeypatch.setattr(ml, "stored", lambda df, name: made.append(name) or keep(df, name))
+    whole = ml.boosted(held, spec)
+    assert not made
+    monkeypatch.setattr(ml, "WRITTEN", 2)
+    parts = ml.boosted(held, spec)
+    assert made == ["boost", "boost"] and parts.weights == whole.weights
+    assert [t.toDebugString.split("\n", 1)[1] for t in parts.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees]
+
+
+def test_arms_that_code_inputs_alike_share_a_matrix(rows, monkeypatch):
+    """A matrix was written for each arm."""
+    made, keep = [], ml.matrix_rows
+    monkeypatch.setattr(ml, "matrix_rows", lambda *a, **k: made.append(1) or keep(*a, **k))
+    fold = ml.Fold("late", 1_000_000, 2_000_000)
+    arms = {"flat": ml.Spec(rounds=2, depth=2), "deep": ml.Spec(rounds=2, depth=3), "line": ml.Spec("linear", rounds=5), "weighted": ml.Spec("linear", rounds=5, weight="y")}
+    held = rows.withColumn("y", F.lit(2.0))
+    got = {r.arm: r.metric for r in ml.grid(held, [fold], ["x"], arms).collect()}
+    assert len(made) == 2
+    alone = {a: ap(fold.validate(held).select("transaction_id", "label").join(ml.fit(fold.train(held), ["x"], s).score(fold.validate(held)), "transaction_id")) for a, s in arms.items()}
+    assert got == pytest.approx(alone)
