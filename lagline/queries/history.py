@@ -60,7 +60,7 @@ def w1m(spark, d):
 @query("w2_w3_expanding_buckets", f"""WITH {LINES} SELECT transaction_id, count(*) OVER w AS cust_history_count, coalesce((sum(amount) OVER w)::DOUBLE, 0) AS cust_amt_sum_prior, (us - lag(us, 2) OVER (PARTITION BY customer_id ORDER BY us, transaction_id))::DOUBLE / 1e6 AS cust_seconds_since_last2
 FROM fact WINDOW w AS {P.format(e="customer_id")}""")
 def w23(spark, d):
-    """By segmented scans, as for entities too large for one window partition."""
+    """By segmented scans where an entity is too large for one window partition."""
     df = h.expanding_in_blocks(lineitem_fact(spark, d).select("transaction_id", "us", "customer_id", "amount"), "customer_id", "cust")
     return df.select("transaction_id", "cust_history_count", "cust_amt_sum_prior", "cust_seconds_since_last2")
 

@@ -67,3 +67,22 @@ def test_no_rows(spark):
     df = fact(spark).where("us < 0")
     assert prior_states(df, {"all": (text_key(), [N, LAST])}).count() == 0
     assert h.running_max_ratio(df, "amount", "r").count() == 0
+
+
+def test_small_entities_are_not_scanned(spark, monkeypatch):
+    """Scans are for entities of many rows; every entity was scanned before, at several times its rows in states."""
+    import random
+
+    from lagline.operators import history as h
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(60) * 1_000_000, "hot" if i % 3 else rng.choice(["a", "b", None]), float(rng.randrange(1, 900))) for i in range(400)]
+    df = spark.createDataFrame(rows, "transaction_id long, us long, e string, amount double")
+    names = ["transaction_id", "e_history_count", "e_amt_sum_prior", "e_log_amt_zscore", "e_seconds_since_last2"]
+    of = lambda d: sorted(map(tuple, d.select(*names).collect()))
+    scanned, seen = h.scanned, []
+    monkeypatch.setattr(h, "scanned", lambda d, *a, **k: seen.append(d.select("e").distinct().count()) or scanned(d, *a, **k))
+    by_windows = of(h.expanding_in_blocks(df, "e", "e"))
+    assert not seen
+    assert of(h.expanding_in_blocks(df, "e", "e", spread_rows=100)) == by_windows and seen == [1]
+    assert of(h.expanding_in_blocks(df, "e", "e", block_rows=32)) == by_windows
