@@ -86,3 +86,20 @@ def test_small_entities_are_not_scanned(spark, monkeypatch):
     assert not seen
     assert of(h.expanding_in_blocks(df, "e", "e", spread_rows=100)) == by_windows and seen == [1]
     assert of(h.expanding_in_blocks(df, "e", "e", block_rows=32)) == by_windows
+
+
+def test_context_looks_windows_up_by_place_and_time(spark, monkeypatch):
+    """Rows with all their columns were doubled to see the windows; now a row for each place and time is."""
+    import random
+
+    from lagline.operators import ranges as r
+    from lagline.plans.spec import plan
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(90) * 1_800_000_000, rng.choice(["x", "y", None]), rng.choice(["k", None]), float(rng.randrange(1, 900))) for i in range(500)]
+    df = spark.createDataFrame(rows, "transaction_id long, us long, place string, kind string, amount double")
+    halo, seen = r.trailing_with_halo, []
+    monkeypatch.setattr(r, "trailing_with_halo", lambda d, *a: seen.extend(d.columns) or halo(d, *a))
+    got, want = r.context_by_blocks(df, "place", "kind", block_rows=64), plan(df, r.context("place", "kind"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
+    assert seen == ["_at", "us", "_c", "_s"]
