@@ -131,7 +131,7 @@ c AS (SELECT transaction_id, pay_x_type, row_number() OVER (PARTITION BY pay_x_t
 SELECT transaction_id, pay_x_type, round(same::DOUBLE / greatest(n::DOUBLE, 1.0), 9) AS pay_x_type_freq_share_prior FROM c""")
 def w33(spark, d):
     df = h.add(lineitem_fact(spark, d).select("transaction_id", "us", "payment_method", "transaction_type"), cross("payment_method", "transaction_type", "pay_x_type"))
-    df = h.frequency_share(df, "pay_x_type")
+    df = h.frequency_share(df.select("transaction_id", "us", "pay_x_type"), "pay_x_type")
     return df.select("transaction_id", "pay_x_type", F.round("pay_x_type_freq_share_prior", 9).alias("pay_x_type_freq_share_prior"))
 
 
