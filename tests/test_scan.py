@@ -103,3 +103,13 @@ def test_context_looks_windows_up_by_place_and_time(spark, monkeypatch):
     got, want = r.context_by_blocks(df, "place", "kind", block_rows=64), plan(df, r.context("place", "kind"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
     assert seen == ["_at", "us", "_c", "_s"]
+
+
+def test_places_in_a_hashed_order_need_no_window_over_rows(spark):
+    """Windows by label and range put several ranges into one task."""
+    from lagline.operators.evaluate import stratified_split
+
+    df = spark.range(1000).selectExpr("id AS transaction_id", "cast(id % 3 = 0 AS int) AS label")
+    got = stratified_split(df, 0.2)
+    assert not [s for s in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in s and "_hash" in s]
+    assert got.where("held_out").groupBy("label").count().orderBy("label").collect() == [(0, 133), (1, 67)]
