@@ -5,6 +5,12 @@ row), a map of what the customer has met, and a list of the rows of the last
 `width`, from which older ones go as new ones come. Rows of a micro-batch are taken
 in order of (us, transaction_id) and answered in arrays.
 
+Each question to the state is a message to the JVM and back, which costs more than
+the arithmetic of a whole batch. So what was met stands in pages by hash, twice as
+many whenever they are full: a batch asks for the pages of its devices, not for each
+device, and neither messages nor bytes grow faster than the batch's own devices.
+Rows come and go as rows: a data frame a customer and batch costs more than a few rows.
+
 A row that stands before the customer's last one would break the strictly-prior
 rule: it comes out with late = true and no features, and does not enter the state;
 split() parts the two outputs. Rows older than the watermark are what Spark drops,
@@ -15,18 +21,35 @@ list could not have counted again.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "transaction_id long, customer_id long, us long, late boolean, history_count long, amt_sum_prior double, seconds_since_last double, amt_max_prior double, is_record_amt double, is_new_device int, devices_prior long, cnt_recent long, amtsum_recent double"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Devices of a page, when the customer's pages are about full.
+PAGE = 256
+
+
+def pages(met: int) -> int:
+    """How many pages hold so many devices: a power of two."""
+    n = 1
+    while n * PAGE < met:
+        n *= 2
+    return n
+
+
+def page_of(device: str, n: int) -> int:
+    return zlib.crc32(device.encode()) & (n - 1)  # the same in every worker
+
+
 class Profile(StatefulProcessor):
     def __init__(self, width: int) -> None:
         self.width = width
@@ -34,27 +57,57 @@ class Profile(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.level = handle.getValueState("level", "n long, cents long, top long, last_us long, last_id long, met long")
-        self.met = handle.getMapState("met", "device string", "us long")
+        self.met = handle.getMapState("met", "page int", "devices array<string>")
         self.recent = handle.getListState("recent", "us long, cents long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "transaction_id"])  # one customer's rows of one micro-batch
-        n, total, top, last_us, last_id, met = self.level.get() if self.level.exists() else (0, 0, None, None, None, 0)
-        us, ids = frame["us"].to_numpy(np.int64), frame["transaction_id"].to_numpy(np.int64)
+    def page(self, k: int) -> list[str]:
+        held = self.met.getValue((k,))
+        return list(held[0]) if held is not None else []
+
+    def meet(self, devices: list[str], met: int) -> list[str]:
+        """Those of the batch's different devices that the customer, who has met so many, had not; they are met from here on."""
+        n = pages(met)
+        asked: dict[int, list[str]] = {}
+        for d in devices:
+            asked.setdefault(page_of(d, n), []).append(d)
+        held = {k: self.page(k) if met else [] for k in asked}
+        known = {d for page in held.values() for d in page}
+        new = [d for d in devices if d not in known]
+        more = pages(met + len(new))
+        if more == n:
+            for k, mine in asked.items():
+                added = [d for d in mine if d not in known]
+                if added:
+                    self.met.updateValue((k,), (held[k] + added,))
+        else:  # twice as many pages or more: all are dealt anew, which a device pays for a few times in its life
+            dealt: dict[int, list[str]] = {}
+            for d in [d for k in range(n) for d in (held[k] if k in held else self.page(k) if met else [])] + new:
+                dealt.setdefault(page_of(d, more), []).append(d)
+            for k, mine in dealt.items():
+                self.met.updateValue((k,), (mine,))
+        return new
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = list(rows)  # one customer's rows of one micro-batch
+        column = dict(zip(rows[0].__fields__, zip(*rows, strict=True), strict=True))
+        us, ids = np.array(column["us"], np.int64), np.array(column["transaction_id"], np.int64)
+        order = np.lexsort((ids, us))
+        us, ids = us[order], ids[order]
+        device_id, amount = (np.array(column[c], kind)[order] for c, kind in (("device_id", object), ("amount", float)))
+        held = self.level.get()
+        n, total, top, last_us, last_id, met = (0, 0, None, None, None, 0) if held is None else held
         late = (us < last_us) | ((us == last_us) & (ids < last_id)) if last_us is not None else np.zeros(len(us), bool)
-        out = frame[["transaction_id", "customer_id", "us"]].assign(late=late)
-        fresh = frame[~late]
-        names = [c.split()[0] for c in OUT.split(", ")][4:]
-        held = dict.fromkeys(names)
-        if len(fresh):
-            t, x = us[~late], np.rint(fresh["amount"].to_numpy(float) * 100).astype(np.int64)
-            device = fresh["device_id"].fillna("\0null").tolist()
-            first = pd.Series(device).duplicated().to_numpy() == 0
-            new = np.array([f and not self.met.containsKey((d,)) for f, d in zip(first.tolist(), device, strict=True)])
-            for d, u, is_new in zip(device, t.tolist(), new.tolist(), strict=True):
-                if is_new:
-                    self.met.updateValue((d,), (u,))
-            old = [(u, c) for u, c in self.recent.get() if u >= t[0] - self.width] if self.recent.exists() else []
+        values = [(None, None)] * (len(NAMES) - 4)
+        some = ~late
+        if some.any():
+            t, x = us[some], np.rint(amount[some] * 100).astype(np.int64)
+            device = ["\0null" if d is None else d for d in device_id[some].tolist()]
+            first = {d: k for k, d in reversed(list(enumerate(device)))}
+            fresh = self.meet(list(dict.fromkeys(device)), met)
+            new = np.zeros(len(t), bool)
+            new[[first[d] for d in fresh]] = True
+            near = last_us is not None and last_us >= t[0] - self.width and self.recent.exists()  # else no row of the list counts again
+            old = [r for r in self.recent.get() if r[0] >= t[0] - self.width] if near else []
             times = np.concatenate((np.array([u for u, _ in old], np.int64), t))
             sums = np.concatenate(([0], np.cumsum(np.concatenate((np.array([c for _, c in old], np.int64), x)))))
             low, high = np.searchsorted(times, t - self.width), np.searchsorted(times, t)
@@ -63,26 +116,23 @@ class Profile(StatefulProcessor):
             tops = np.maximum.accumulate(np.concatenate(([least if top is None else top], x)))
             known = tops[:-1] > least
             gap = np.diff(t, prepend=t[0] if last_us is None else last_us) / 1e6
-            some = np.arange(len(t)) + n > 0
-            values = [n + np.arange(len(t)), (total + before[:-1]) / 100.0, (gap, some), (tops[:-1] / 100.0, known), ((x > tops[:-1]).astype(float), known), new.astype(int), met + np.concatenate(([0], np.cumsum(new)))[:-1], high - low, (sums[high] - sums[low]) / 100.0]
-            held = {c: pd.array(np.where(v[1], v[0], 0) if isinstance(v, tuple) else v) for c, v in zip(names, values, strict=True)}
-            for c, v in zip(names, values, strict=True):
-                if isinstance(v, tuple):
-                    held[c][~v[1]] = pd.NA
-            self.level.update((n + len(t), total + int(before[-1]), int(tops[-1]), int(t[-1]), int(ids[~late][-1]), met + int(new.sum())))
+            count = n + np.arange(len(t))
+            values = [(count, None), ((total + before[:-1]) / 100.0, None), (gap, count > 0), (tops[:-1] / 100.0, known), ((x > tops[:-1]).astype(float), known), (new.astype(np.int64), None), (met + np.concatenate(([0], np.cumsum(new)))[:-1], None), (high - low, None), ((sums[high] - sums[low]) / 100.0, None)]
+            self.level.update((n + len(t), total + int(before[-1]), int(tops[-1]), int(t[-1]), int(ids[some][-1]), met + len(fresh)))
             stay = times >= t[-1] - self.width
-            cents = np.diff(sums)[stay].tolist()
-            self.recent.put(list(zip(times[stay].tolist(), cents, strict=True)))
+            self.recent.put(list(zip(times[stay].tolist(), np.diff(sums)[stay].tolist(), strict=True)))
             self.handle.registerTimer((int(t[-1]) + self.width) // 1000 + 1)
-        for c in names:
-            kind = "Int64" if c in ("history_count", "is_new_device", "devices_prior", "cnt_recent") else "Float64"
-            column = pd.Series(pd.NA, index=range(len(out)), dtype=kind)
-            if held[c] is not None:
-                column[np.flatnonzero(~late)] = held[c]
-            out[c] = column.to_numpy(dtype=object, na_value=None)
-        yield out.astype({c: ("Int64" if c in ("history_count", "is_new_device", "devices_prior", "cnt_recent") else "Float64") for c in names})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = [ids.tolist(), column["customer_id"], us.tolist(), late.tolist()]
+        for value, real in values:
+            told = [None] * len(us)
+            if value is not None:
+                there = some.nonzero()[0] if real is None else some.nonzero()[0][real]
+                for k, v in zip(there.tolist(), (value if real is None else value[real]).tolist(), strict=True):
+                    told[k] = v
+            done.append(told)
+        yield from map(Row(*NAMES), *done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last = self.level.get()[3]
         if (last + self.width) // 1000 < timerValues.getCurrentWatermarkInMs():  # an earlier row's timer comes too early
             self.recent.clear()
@@ -96,7 +146,7 @@ def profile_stream(stream: DataFrame, width: int, delay: str = "30 days") -> Dat
     """stream: transaction_id, customer_id, device_id, us (epoch microseconds), amount (double). Append output; needs the RocksDB state store, see with_rocks()."""
     # as text, so that numbers look the same whether or not a batch has nulls
     timed = stream.withColumns({"_ts": F.timestamp_micros("us"), "device_id": F.col("device_id").cast("string")}).withWatermark("_ts", delay)
-    return timed.groupBy("customer_id").transformWithStateInPandas(Profile(width), OUT, "Append", "EventTime")
+    return timed.groupBy("customer_id").transformWithState(Profile(width), OUT, "Append", "EventTime")
 
 
 def with_rocks(spark, run):

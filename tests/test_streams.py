@@ -2,9 +2,10 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lagline.streaming.profile import profile_stream, sessions, split, with_rocks
+from lagline.streaming.profile import Profile, profile_stream, sessions, split, with_rocks
 
 SCHEMA = "transaction_id long, customer_id long, device_id long, us long, amount double"
 MINUTE = 60_000_000
@@ -73,3 +74,43 @@ def test_sessions_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     got = {(r.customer_id, r.start, r.end, r.n, r.total) for r in run(spark, tmp_path, "sessions", lambda s, delay: sessions(put(s), "20 minutes", delay), "1 hour").collect()}
     assert got <= want and len(got) > len(want) // 2  # the last ones wait for the watermark
     assert sum(n for *_, n, _ in want) == len(rows)
+
+
+class Counted:
+    """Value, map and list state in memory that counts the messages a processor would send."""
+
+    def __init__(self):
+        self.level, self.pages, self.rows, self.sent = None, {}, [], 0
+
+    def getValueState(self, *_):
+        return _Held(self, get=lambda: self.level, exists=lambda: self.level is not None, update=lambda v: setattr(self, "level", v))
+
+    def getMapState(self, *_):
+        return _Held(self, getValue=lambda k: self.pages.get(k), containsKey=lambda k: k in self.pages, updateValue=lambda k, v: self.pages.__setitem__(k, v))
+
+    def getListState(self, *_):
+        return _Held(self, get=lambda: iter(self.rows), exists=lambda: bool(self.rows), put=lambda v: setattr(self, "rows", v))
+
+    def registerTimer(self, _):
+        self.sent += 1
+
+
+class _Held:
+    def __init__(self, owner, **calls):
+        for name, f in calls.items():
+            setattr(self, name, lambda *a, f=f: setattr(owner, "sent", owner.sent + 1) or f(*a))
+
+
+def test_messages_to_the_state_don_t_follow_the_devices():
+    """Three batches of 400 rows with up to 1,200 devices of their own: pages fill, double, and tell new devices from known ones."""
+    handle, seen, rng = Counted(), set(), random.Random(3)
+    profile = Profile(WIDTH)
+    profile.init(handle)
+    for k in range(3):
+        devices = [str(rng.randrange(1200)) for _ in range(400)]
+        rows = [Row(transaction_id=k * 400 + i, customer_id=1, device_id=d, us=k * 400 + i, amount=1.0) for i, d in enumerate(devices)]
+        got = list(profile.handleInputRows((1,), iter(rows), None))
+        want = [int(d not in seen and not seen.add(d)) for d in devices]
+        assert [r.is_new_device for r in got] == want and got[-1].devices_prior == len(seen) - want[-1]
+    assert sorted(d for (held,) in handle.pages.values() for d in held) == sorted(seen) and len(handle.pages) == 4
+    assert handle.sent < 50  # 1,200 and more with a question for each device
