@@ -224,3 +224,15 @@ def test_calendar(spark):
     df = spark.createDataFrame([(us,)], "us long").select(*[c.alias(n) for n, c in calendar().items()]).first()
     assert (df.hour_of_day, df.day_of_week, df.is_night) == (5, 6, 1)
     assert DAY == 24 * HOUR
+
+
+def test_backward_windows_sort_their_rows_once(spark):
+    """Ties and ranges share one order of the rows behind one exchange: a task holds them once."""
+    from pyspark.sql import functions as F
+
+    from lagline.operators import ranges
+    from lagline.plans.spec import plan
+
+    df = spark.range(40).select(F.col("id").cast("string").alias("transaction_id"), (F.floor(F.col("id") / 3) * ranges.MINUTE).alias("us"), (F.col("id") % 2).alias("e"), F.col("id").cast("decimal(18,2)").alias("amount"))
+    text = plan(df, ranges.backward("e", "x", [2 * ranges.MINUTE, 5 * ranges.MINUTE], rates=[(2 * ranges.MINUTE, 5 * ranges.MINUTE)]))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Sort [") == 1 and text.count("Exchange hashpartitioning") == 1
