@@ -64,3 +64,20 @@ def test_matrix_is_written_by_compiled_methods(spark, rows, monkeypatch):
     monkeypatch.setattr(ml, "stored", lambda df, name: seen.append(int(spark.conf.get(METHODS))) or keep(df, name))
     ml.matrix_rows(rows, ["a", "b"], ml.Spec())
     assert seen == [8000] and spark.conf.get(METHODS) == before
+
+
+def test_scores_of_a_stack_are_written_by_compiled_methods(spark, rows, monkeypatch):
+    """Out-of-fold scores were worked out inside the neighbourhood's joins, by interpreted methods."""
+    seen, keep, none = [], ml.stored, rows.sparkSession.createDataFrame([], "transaction_id long, fold string, score double")
+    monkeypatch.setattr(ml, "out_of_fold", lambda *a: none)
+    monkeypatch.setattr(ml, "stored", lambda df, name: seen.append((name, df.columns, int(spark.conf.get(METHODS)))) or keep(df, name))
+    monkeypatch.setattr(ml, "neighbourhood", lambda df, scores, *a: scores.withColumn("label", F.lit(0)))
+
+    class Scores:
+        def score(self, rows):
+            return none.select("transaction_id", "score")
+
+    monkeypatch.setattr(ml, "fit", lambda *a, **k: Scores())
+    last = ml.Fold("last", 0, 1)
+    ml.stacked(rows.withColumn("us", F.col("transaction_id")), [last], last, ["a"], {}, HOUR)
+    assert seen[:2] == [("stack", none.columns, 8000), ("stack", ["transaction_id", "score"], 8000)]
